@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import line_dedup, mixing, quality_rules
+from . import line_dedup, mixing, quality_rules, simhash
 
 QUERIES = {}
 ORACLE = {}
@@ -78,3 +78,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = quality_rules.verdicts(C.documents(spark, sf_dir).select("doc_id", "source", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_frequent")
     return v.select("row.doc_id", *[F.col(n).cast("long").alias(n) for n in names], "base_failed", "kept")
+
+
+@query("op8_simhash_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(C.documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("row.doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
