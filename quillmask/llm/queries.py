@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import line_dedup, mixing, quality_rules, simhash
+from . import line_dedup, mixing, quality_rules, simhash, suffix_dedup
 
 QUERIES = {}
 ORACLE = {}
@@ -84,3 +84,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(C.documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("row.doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op1_suffix_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(C.documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
