@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import line_dedup, mixing, quality_rules, simhash, suffix_dedup
+from . import bpe, line_dedup, mixing, quality_rules, simhash, suffix_dedup
 
 QUERIES = {}
 ORACLE = {}
@@ -90,3 +94,27 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(C.documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _digests(batches):
+    for b in batches:
+        ids = b.column("ids")
+        values, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+        digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        lists = [values[x:y].tolist() for x, y in zip(ends[:-1], ends[1:])]
+        cols = [
+            pa.array([r["doc_id"] for r in b.column("row").to_pylist()], pa.int64()),
+            pa.array([len(x) for x in lists], pa.int64()),
+            pa.array([digest(",".join(map(str, x))) for x in lists]),
+            pa.array([digest(t.as_py()) for t in b.column("decoded")]),
+        ]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+@query("op6_bpe_round_trip")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.documents(spark, sf_dir).select("doc_id", "text")
+    return bpe.encoded(docs, BYTE_BPE, decode=True, then=_digests, schema="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
