@@ -35,8 +35,9 @@ BATCH_IDS = 1 << 20
 SHIFT = 20
 NONE = np.iinfo(np.int64).max
 
-# Fixed value: the split pattern of the byte-level vocabulary, with white space spelt out.
-_S = r"\t-\r \x85\xa0  -     　"
+# Unicode's white space as ranges, and the split pattern of the byte-level vocabulary.
+SPACES = ((0x9, 0xD), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+_S = "".join(f"{chr(a)}-{chr(b)}" for a, b in SPACES)
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import bpe, line_dedup, mixing, quality_rules, simhash, suffix_dedup
+from . import bpe, line_dedup, mixing, quality_rules, simhash, suffix_dedup, token_files
 
 QUERIES = {}
 ORACLE = {}
@@ -118,3 +118,14 @@ def _digests(batches):
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.documents(spark, sf_dir).select("doc_id", "text")
     return bpe.encoded(docs, BYTE_BPE, decode=True, then=_digests, schema="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+END_ID = 2
+
+
+@query("op3_token_files")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = C.scratch(spark, "token-files")
+    manifest = token_files.write_shards(C.documents(spark, sf_dir), folder, WORD_BPE, END_ID)
+    return token_files.read_shards(manifest).withColumnRenamed("key", "doc_id")
