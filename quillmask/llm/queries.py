@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import bpe, line_dedup, mixing, quality_rules, simhash, suffix_dedup, token_files
+from . import bpe, line_dedup, mixing, quality_rules, simhash, suffix_dedup, token_files, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -129,3 +129,19 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = C.scratch(spark, "token-files")
     manifest = token_files.write_shards(C.documents(spark, sf_dir), folder, WORD_BPE, END_ID)
     return token_files.read_shards(manifest).withColumnRenamed("key", "doc_id")
+
+
+@query(
+    "op5_warc_bundles",
+    """
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT rid, page_id, CAST(octet_length(b) AS BIGINT) AS n, sha256(b) AS d FROM p),
+r AS (SELECT *, row_number() OVER w AS k, first_value(page_id) OVER w AS first FROM h
+      WINDOW w AS (PARTITION BY d, n >= 100 ORDER BY page_id NULLS LAST, rid))
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND k > 1 THEN first END AS refers_to FROM r""",
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), C.scratch(spark, "warc"))
+    return warc.read(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
