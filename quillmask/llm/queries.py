@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import bpe, line_dedup, mixing, quality_rules, simhash, suffix_dedup, token_files, warc
+from . import bpe, line_dedup, mixing, quality_rules, simhash, suffix_dedup, token_files, topk, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -145,3 +145,19 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest,
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), C.scratch(spark, "warc"))
     return warc.read(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query(
+    "op7_exact_top_k",
+    """
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rid, a.vec_id AS query_id, b.vec_id, b.rid AS brid,
+             CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: coalesce(p[1] * p[2], 0))) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.rid <> b.rid WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id, brid) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0)
