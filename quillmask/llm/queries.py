@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import bpe, line_dedup, mixing, quality_rules, simhash, suffix_dedup, token_files, topk, warc
+from . import bpe, line_dedup, mixing, quality_model, quality_rules, simhash, suffix_dedup, token_files, topk, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -161,3 +161,16 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 )
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0)
+
+
+def _held_out(key):
+    return F.coalesce(F.crc32(F.encode(key.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
+
+
+@query("op9_quality_model")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.documents(spark, sf_dir).select("doc_id", "text")
+    scored = quality_model.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), _held_out(F.col("key")))
+    return scored.select(
+        "row.doc_id", _held_out(F.col("row.doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
