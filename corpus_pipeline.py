@@ -1,27 +1,53 @@
-"""A corpus pipeline of the llm operators, each stage written as Parquet and read again."""
+"""A corpus pipeline of the llm operators. Each stage takes the documents that the one
+before it kept, written as Parquet and read again, and works on all of them; all but the
+last return the columns of documents."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmask.llm import common, line_dedup, mixing, quality_rules
+from quillmask.llm import bpe, common, line_dedup, mixing, quality_rules, simhash
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+#: The mix's Newton solution and the vocabulary's merges are not expressible in SQL.
 ORACLE_SQL = None
 
 
-def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _with_length(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
     return quality_rules.keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.deduped(docs)
+    """Lines that many documents have go from every text."""
+    return _with_length(line_dedup.deduped(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as the mix of sources takes them."""
     return mixing.mixed(docs)
 
 
-STAGES = [("quality_rules", rules), ("line_dedup", lines), ("mixing", mix)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document with its ids, their number, and the text decoded back from them."""
+    out = bpe.encoded(docs, VOCABULARY, decode=True)
+    rest = [F.col("row").getField(c).alias(c) for c in docs.columns if c != "text"]
+    return out.select(*rest, F.col("decoded").alias("text"), "ids", F.size("ids").cast("long").alias("n_tokens"))
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("simhash_near_dedup", near_duplicates), ("mix_sources", mix), ("bpe_round_trip", tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
