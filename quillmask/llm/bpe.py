@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that a worker remembers.
-CACHE = 300_000
+#: Words that a worker remembers (some 200 MB of them).
+CACHE = 800_000
+#: Code points of texts whose new words are merged together.
+GROUP = 4 << 20
 #: Longer words are merged one by one with a heap: a round a rank would be slow there.
 LONG = 400
-#: Ids in an outgoing batch, about.
-BATCH_IDS = 1 << 20
 SHIFT = 20
 NONE = np.iinfo(np.int64).max
 
@@ -84,8 +85,8 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NONE)
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word, by merge rounds over all of them."""
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word (as bytes of 32-bit numbers), by merge rounds over all of them."""
         lens = np.fromiter(map(len, words), np.int64, len(words))
         sym = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), lens)
@@ -116,8 +117,9 @@ class Vocabulary:
             sym, word = sym[keep], word[keep]
         word, sym = (np.concatenate([d[k] for d in done]) if done else np.empty(0, np.int64) for k in (0, 1))
         order = np.argsort(word, kind="stable")
-        ends = np.cumsum(np.bincount(word, minlength=len(words)))
-        return np.split(sym[order], ends[:-1]) if len(words) else []
+        raw = sym[order].astype(np.int32).tobytes()
+        ends = (4 * np.cumsum(np.bincount(word, minlength=len(words)))).tolist()
+        return [raw[x:y] for x, y in zip([0, *ends[:-1]], ends)] if len(words) else []
 
     def merge_long(self, word: bytes) -> list[int]:
         """One long word, with a heap of pairs over a linked list."""
@@ -151,31 +153,33 @@ class Vocabulary:
                 push(before[i], i)
         return [x for x in ids if x >= 0]
 
-    def learn(self, words: set[str]) -> None:
-        """Put the ids of words into the cache."""
-        new = [w for w in words if w not in self.words]
+    def learn(self, new: set[str], split) -> None:
+        """Put the ids of new words into the cache; a full cache first forgets all that split
+        (words of texts, in parts) doesn't need."""
         if len(self.words) + len(new) > CACHE:
             self.words.clear()
-            new = list(words)
+            new = {w for ps in split for ws in ps[::2] for w in ws}
+        new = list(new)
         raw = [w.encode("utf-8", "replace") for w in new]
         short = [k for k, r in enumerate(raw) if len(r) <= LONG]
         for k, ids in zip(short, self.merge([raw[k] for k in short])):
-            self.words[new[k]] = ids.astype(np.int32).tobytes()
+            self.words[new[k]] = ids
         for w, r in zip(new, raw):
             if len(r) > LONG:
                 self.words[w] = np.array(self.merge_long(r), np.int32).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        if self.specials is not None and self.specials.search(text):
-            parts = self.specials.split(text)
-            return np.concatenate([np.array([self.special[p]], np.int32) if k % 2 else self.encode(p) for k, p in enumerate(parts)])
-        words = self.split(text)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Every text is split once; the new words of all are merged together."""
+        parts = [self.specials.split(t) if self.specials is not None and self.specials.search(t) else [t] for t in texts]
+        split = [[p if k % 2 else self.split(p) for k, p in enumerate(ps)] for ps in parts]
         known = self.words
-        try:
-            return np.frombuffer(b"".join([known[w] for w in words]), np.int32)
-        except KeyError:
-            self.learn(set(words))
-            return np.frombuffer(b"".join([self.words[w] for w in words]), np.int32)
+        self.learn({w for ps in split for ws in ps[::2] for w in filterfalse(known.__contains__, ws)}, split)
+        special = {t: np.array([i], np.int32).tobytes() for t, i in self.special.items()}
+        joined = (b"".join([special[p] if k % 2 else b"".join([known[w] for w in p]) for k, p in enumerate(ps)]) for ps in split)
+        return [np.frombuffer(x, np.int32) for x in joined]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; ids that the vocabulary hasn't are left out."""
@@ -191,26 +195,26 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _groups(texts: list[str]):
+    """Slices of about GROUP code points."""
+    at, size = 0, 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= GROUP or k + 1 == len(texts):
+            yield at, texts[at : k + 1]
+            at, size = k + 1, 0
+
+
 def _encode_batches(path: str, decode: bool):
     def run(batches):
         v = vocabulary(path)
         for b in batches:
-            at, ids, texts, size = 0, [], [], 0
-            # learn the new words of many texts at once
-            column = b.column(1).to_pylist()
-            for k, text in enumerate(column):
-                if k % 64 == 0:
-                    new = {w for t in column[k : k + 64] if t for w in v.split(t)} - v.words.keys()
-                    v.learn(new)
-                ids.append(v.encode(text or ""))
-                size += len(ids[-1])
-                if size >= BATCH_IDS or k + 1 == len(column):
-                    texts = [v.decode(x) for x in ids] if decode else []
-                    ends = np.cumsum([0, *map(len, ids)])
-                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-                    cols = [b.column(0).slice(at, len(ids)), lists] + ([pa.array(texts, pa.string())] if decode else [])
-                    yield pa.RecordBatch.from_arrays(cols, ["row", "ids", "decoded"][: len(cols)])
-                    at, ids, size = k + 1, [], 0
+            for at, texts in _groups([t.as_py() or "" for t in b.column(1)]):
+                ids = v.encode_all(texts)
+                ends = np.cumsum([0, *map(len, ids)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                cols = [b.column(0).slice(at, len(ids)), lists] + ([pa.array([v.decode(x) for x in ids], pa.string())] if decode else [])
+                yield pa.RecordBatch.from_arrays(cols, ["row", "ids", "decoded"][: len(cols)])
 
     return run
 
