@@ -35,8 +35,8 @@ from .storage import open_file, write_file
 MAGIC = b"QMIDS001"
 #: Slots of a level's bit map for each key that is left.
 GAMMA = 2
-#: Chunks that an encoder remembers.
-CACHE = 300_000
+#: Chunks that an encoder remembers (some 200 MB of them).
+CACHE = 800_000
 TAIL = struct.Struct("<8sIIQQQQ")  # magic, id width, levels, documents, ids, directory's and index's place
 SLOT = np.dtype([("print", "<u4"), ("n", "<u4"), ("at", "<u8")])
 U = np.uint64
@@ -89,11 +89,13 @@ class Encoder:
     """Ids of texts by the tokenizers library, with the end id, as bytes.
 
     The vocabulary drops white space, so a text's chunks between it are encoded alone, and
-    a chunk met before needs no second look. That holds for texts of printable ASCII, tab,
-    line ends and Latin-1 letters, which lower-case and compose alike everywhere; any other
-    text, and one that may hold a special token, goes to the library as a whole."""
+    a chunk met before needs no second look; nor does one that is a known word and a stop.
+    That holds for chunks of printable ASCII and Latin-1 letters, which lower-case and
+    compose alike everywhere; a text with any other chunk, with separators that only some
+    take for white space, or that may hold a special token, goes to the library as a whole."""
 
-    OTHER = re.compile(r"[^\t\n\r -~\xc0-\xff]|<\|")
+    OTHER = re.compile(r"[^!-~\xdf-\xff]")
+    WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
     MARK = chr(0xE000)  # stands between chunks; its first byte is in no chunk
 
     def __init__(self, path: str, end_id: int, width: int):
@@ -105,40 +107,54 @@ class Encoder:
         self.dtype = np.dtype(f"<u{width}")
         self.end = np.array([end_id], self.dtype).tobytes()
         self.mark = self._ids([self.MARK])[0]
-        self.chunks: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes | None] = {}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, chunks: set[str]) -> None:
-        new = sorted(chunks - self.chunks.keys())
-        if len(self.chunks) + len(new) > CACHE:
-            self.chunks.clear()
-            new = sorted(chunks)
-        for k in range(0, len(new), 2048):
-            part = new[k : k + 2048]
+    def _learn(self, chunks: list[str]) -> None:
+        """Have the library encode chunks, many at a time."""
+        for k in range(0, len(chunks), 2048):
+            part = chunks[k : k + 2048]
             ids = np.array(self._ids([f" {self.MARK} ".join([*part, ""])])[0], np.int64)
             at = np.flatnonzero(ids == self.mark[0])
             assert len(at) == len(part)
             begins = np.concatenate(([0], at[:-1] + len(self.mark)))
-            raw = ids.astype(self.dtype)
-            for chunk, x, y in zip(part, begins.tolist(), at.tolist()):
-                self.chunks[chunk] = raw[x:y].tobytes()
+            raw, w = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+            self.chunks.update((c, raw[x * w : y * w]) for c, x, y in zip(part, begins.tolist(), at.tolist()))
+
+    def learn(self, chunks: set[str]) -> None:
+        """Put chunks into the cache; those that can't be encoded alone as None."""
+        known = self.chunks
+        stopped = {c for c in chunks if c[-1] in ".," and c[-2:-1].isalpha()}
+        alone = {c for cs in (chunks - stopped, (c[:-1] for c in stopped), ".,") for c in cs if c not in known}
+        other = {c for c in alone if self.OTHER.search(c)}
+        known.update(dict.fromkeys(other))
+        self._learn(list(alone - other))
+        known.update((c, known[c[:-1]] and known[c[:-1]] + known[c[-1]]) for c in stopped)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        split, whole = {}, []
+        whole = [i for i, t in enumerate(texts) if t and any(x in t for x in self.WHOLE)]
+        if len(self.chunks) > CACHE:
+            self.chunks.clear()
+        known, open_ = self.chunks, []
         for i, t in enumerate(texts):
-            if not t:
-                out[i] = self.end
-            elif self.OTHER.search(t):
+            chunks = (t or "").lower().split()
+            found = list(map(known.get, chunks))
+            gaps = [k for k, v in enumerate(found) if v is None]
+            if gaps:
+                open_.append((i, found, [(k, chunks[k]) for k in gaps]))
+            else:
+                out[i] = b"".join(found) + self.end
+        self.learn({c for _, _, gaps in open_ for _, c in gaps if c not in known})
+        for i, found, gaps in open_:
+            for k, c in gaps:
+                found[k] = known[c]
+            if None in found:
                 whole.append(i)
             else:
-                split[i] = t.lower().split()
-        self.learn({c for cs in split.values() for c in cs})
-        known = self.chunks
-        for i, cs in split.items():
-            out[i] = b"".join([known[c] for c in cs]) + self.end
+                out[i] = b"".join(found) + self.end
         for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
             out[i] = np.array(ids, self.dtype).tobytes() + self.end
         return out
