@@ -41,9 +41,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with its ids, their number, and the text decoded back from them."""
+    """Each document with its ids, their number, and the text decoded back from them. Further
+    columns that are called ids or n_tokens give way."""
     out = bpe.encoded(docs, VOCABULARY, decode=True)
-    rest = [F.col("row").getField(c).alias(c) for c in docs.columns if c != "text"]
+    rest = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("text", "ids", "n_tokens")]
     return out.select(*rest, F.col("decoded").alias("text"), "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
