@@ -35,8 +35,9 @@ from .storage import open_file, write_file
 MAGIC = b"QMIDS001"
 #: Slots of a level's bit map for each key that is left.
 GAMMA = 2
-#: Chunks that an encoder remembers (some 200 MB of them).
-CACHE = 800_000
+#: Chunks that an encoder remembers from one batch to the next (some 300 MB), none longer than SHORT.
+CACHE = 1_500_000
+SHORT = 64
 TAIL = struct.Struct("<8sIIQQQQ")  # magic, id width, levels, documents, ids, directory's and index's place
 SLOT = np.dtype([("print", "<u4"), ("n", "<u4"), ("at", "<u8")])
 U = np.uint64
@@ -108,6 +109,7 @@ class Encoder:
         self.end = np.array([end_id], self.dtype).tobytes()
         self.mark = self._ids([self.MARK])[0]
         self.chunks: dict[str, bytes | None] = {}
+        self.passing: list[str] = []  # longer chunks, which are forgotten after their batch
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -132,13 +134,17 @@ class Encoder:
         known.update(dict.fromkeys(other))
         self._learn(list(alone - other))
         known.update((c, known[c[:-1]] and known[c[:-1]] + known[c[-1]]) for c in stopped)
+        self.passing = [c for cs in (chunks, alone) for c in cs if len(c) > SHORT]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         whole = [i for i, t in enumerate(texts) if t and any(x in t for x in self.WHOLE)]
-        if len(self.chunks) > CACHE:
-            self.chunks.clear()
         known, open_ = self.chunks, []
+        for c in self.passing:
+            known.pop(c, None)
+        self.passing = []
+        if len(known) > CACHE:
+            known.clear()
         for i, t in enumerate(texts):
             chunks = (t or "").lower().split()
             found = list(map(known.get, chunks))
