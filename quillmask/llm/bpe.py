@@ -27,8 +27,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that a worker remembers (some 200 MB of them).
+#: Words that a worker remembers (some 200 MB of them), none longer than SHORT bytes.
 CACHE = 800_000
+SHORT = 64
 #: Code points of texts whose new words are merged together.
 GROUP = 4 << 20
 #: Longer words are merged one by one with a heap: a round a rank would be slow there.
@@ -77,6 +78,7 @@ class Vocabulary:
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)  # by rank
         self.words: dict[str, bytes] = {}
+        self.passing: list[str] = []  # longer words, which are forgotten before the next ones are learnt
         self.split = regex.compile(PATTERN).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
@@ -161,6 +163,7 @@ class Vocabulary:
             new = {w for ps in split for ws in ps[::2] for w in ws}
         new = list(new)
         raw = [w.encode("utf-8", "replace") for w in new]
+        self.passing = [w for w, r in zip(new, raw) if len(r) > SHORT]
         short = [k for k, r in enumerate(raw) if len(r) <= LONG]
         for k, ids in zip(short, self.merge([raw[k] for k in short])):
             self.words[new[k]] = ids
@@ -176,6 +179,8 @@ class Vocabulary:
         parts = [self.specials.split(t) if self.specials is not None and self.specials.search(t) else [t] for t in texts]
         split = [[p if k % 2 else self.split(p) for k, p in enumerate(ps)] for ps in parts]
         known = self.words
+        for w in self.passing:
+            known.pop(w, None)
         self.learn({w for ps in split for ws in ps[::2] for w in filterfalse(known.__contains__, ws)}, split)
         special = {t: np.array([i], np.int32).tobytes() for t, i in self.special.items()}
         joined = (b"".join([special[p] if k % 2 else b"".join([known[w] for w in p]) for k, p in enumerate(ps)]) for ps in split)
