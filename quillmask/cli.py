@@ -65,8 +65,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     lexicon, decisions = tables["lexicon"], None
     if not policy.disable_images:
         evidence = pictures.analyse(docx.images(rows))
-        decided = pictures.decide(evidence, policy)
-        size = evidence.select("doc_id", "name", "evidence.width", "evidence.height")
+        decided = pictures.decide(evidence, policy, lexicon=lexicon)
+        size = evidence.select("doc_id", "name", F.col("name").alias("seed"), "evidence.format", "evidence.width", "evidence.height")
         decisions = decided.join(size, ["doc_id", "name"])
     text_edits = tables["redacted"].select("doc_id", "block_id", F.when(F.col("redacted") != F.col("text"), _whole_or_spans()).alias("edits")).where("edits IS NOT NULL")
     out = docx.rewritten(

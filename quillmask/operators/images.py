@@ -5,6 +5,8 @@ picture; deciding is a CASE over evidence columns, and its order is the contract
 
 from __future__ import annotations
 
+import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import spans as S
 from ..functions.lexicons import MIN_IMAGE_SIDE, SIGNATURE_CUES, SIGNATURE_INK
 from ..policy import IDENTITY_LABELS, Policy
-from . import detectors
+from . import detectors, match
 
 EVIDENCE = (
     "format string, width int, height int, ocr_text string, codes array<string>, faces int, "
@@ -157,28 +159,66 @@ def summary(e: Column) -> Column:
     )
 
 
-def decide(images: DataFrame, policy: Policy | None = None, spans_of: Callable[[Column], Column] | None = None) -> DataFrame:
-    """images with evidence -> (doc_id, name, label, reason, action, summary)."""
+def decide(images: DataFrame, policy: Policy | None = None, spans_of: Callable[[Column], Column] | None = None, lexicon: DataFrame | None = None) -> DataFrame:
+    """images with evidence -> (doc_id, name, label, reason, action, summary). With a lexicon, a
+    document's own people and companies count as evidence, too."""
     policy = policy or Policy()
+    if lexicon is not None:
+        known = match.per_document(lexicon)
+        images = images.join(known, images.doc_id == known.lex_doc, "left")
+        spans_of = spans_of or (lambda t: F.concat(detectors.detect(t, None, policy), match.matches(t, policy=policy)))
     text = F.concat_ws("\n", F.col("evidence.ocr_text"), F.array_join("evidence.codes", "\n"))
     marked = images.withColumn("inside", labels_in(text, policy, spans_of)).withColumn("around", labels_in(F.coalesce("context", F.lit("")), policy, spans_of))
-    writable = F.col("evidence.format").isin("PNG", "JPEG", "GIF", "BMP", "TIFF", "WEBP", "PPM")
+    writable = F.col("evidence.format").isin("PNG", "BMP")
     ruled = marked.withColumn("ruled", classify(F.col("inside"), F.col("around"), policy))
     out = ruled.withColumn("done", action(F.col("ruled"), policy, writable))
     return out.select("doc_id", "name", "done.label", "done.reason", "done.action", summary(F.col("evidence")).alias("summary"))
 
 
-def placeholder(width: int, height: int, grey: int = 214) -> bytes:
-    """A grey PNG of the given size, with a darker frame: what replaces a picture."""
-    width, height = max(1, width), max(1, height)
-    edge = bytes([0]) + bytes([96]) * width
-    inner = bytes([0]) + (bytes([96]) + bytes([grey]) * max(0, width - 2) + bytes([96]) * (width > 1))
-    raw = edge if height == 1 else edge + inner * (height - 2) + edge
+def _canvas(width: int, height: int, label: str, seed: str) -> list[bytearray]:
+    """Grey pixels, by row: a frame, and inside it a stroke, a field of modules or a plain plate whose
+    details are drawn from the hash of what the picture stands for."""
+    draw = hashlib.sha256(f"{label}:{seed}".encode()).digest()
+    rows = [bytearray([214 if label != "IMAGE_SIGNATURE" else 250]) * width for _ in range(height)]
+    if label == "IMAGE_SIGNATURE":
+        for x in range(width // 10, width - width // 10):
+            y = height / 2 + sum(math.sin(x * (1 + draw[k] % 7) / max(8, width) * 6 + draw[k + 8]) for k in range(4)) * height / 12
+            for dy in range(max(1, height // 60) + 1):
+                if 0 <= int(y) + dy < height:
+                    rows[int(y) + dy][x] = 40
+    elif label == "IMAGE_CODE":
+        side = max(1, min(width, height) // 25)
+        for y in range(height):
+            for x in range(width):
+                rows[y][x] = 255 * (draw[(y // side * 31 + x // side) % 32] >> (x // side % 8) & 1)
+    elif label == "IMAGE_LOGO":
+        band = 90 + draw[0] % 120
+        for y in range(height // 3, height - height // 3):
+            rows[y][width // 10 : width - width // 10] = bytes([band]) * max(0, width - 2 * (width // 10))
+    for y in range(height):
+        rows[y][0] = rows[y][-1] = 96
+    rows[0][:] = rows[-1][:] = bytes([96]) * width
+    return rows
+
+
+def placeholder(width: int, height: int, label: str = "IMAGE_UNCLASSIFIED", seed: str = "", form: str = "PNG") -> bytes | None:
+    """What replaces a picture: one of the same size and format (PNG or BMP; None for others, which
+    are removed). The same label and seed give the same picture."""
+    rows = _canvas(max(1, width), max(1, height), label, seed)
+    width, height = len(rows[0]), len(rows)
+    if form == "BMP":
+        body = b"".join(bytes(r) + b"\0" * (-width % 4) for r in reversed(rows))
+        palette = b"".join(bytes([k, k, k, 0]) for k in range(256))
+        at = 54 + len(palette)
+        return b"BM" + struct.pack("<IHHIIiiHHIIiiII", at + len(body), 0, 0, at, 40, width, height, 1, 8, 0, len(body), 2835, 2835, 256, 0) + palette + body
+    if form != "PNG":
+        return None
 
     def chunk(kind: bytes, data: bytes) -> bytes:
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
     head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
+    raw = b"".join(b"\0" + bytes(r) for r in rows)
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw, 9)) + chunk(b"IEND", b"")
 
 

@@ -87,7 +87,7 @@ def per_document(lexicon: DataFrame) -> DataFrame:
 
 
 def _match_batches(policy: Policy, tagged: bool):
-    def row(text, aliases, places, people, orgs, marks, common):
+    def row(text, aliases, places, people, orgs, marks, common, tagged_places):
         if not text or not text.strip():
             return []
         table = {a["alias"]: a["kind"] for a in ([] if aliases is None else aliases) if policy.wants(a["kind"])}
@@ -96,10 +96,10 @@ def _match_batches(policy: Policy, tagged: bool):
         if tagged and marks is not None:
             sets = (set() if x is None else set(x) for x in (people, orgs))
             words = {w: 1 << 30 for w in ([] if common is None else common)}
-            known = set(table)
+            known, seen = set(table), set() if tagged_places is None else set(tagged_places)
             p, o = sets
             for m in marks:
-                if m["label"] in ("PERSON", "ORG") and policy.wants(m["label"]) and accepts(p, o, known, set(), words, m["text"], m["label"], policy):
+                if m["label"] in ("PERSON", "ORG") and policy.wants(m["label"]) and accepts(p, o, known, seen, words, m["text"], m["label"], policy):
                     spans.append((m["start"], m["end"], m["label"], f"ner:{m['label']}", 0.6, ORD_NER))
         return [
             {"start": a, "end": b, "label": k, "text": text[a:b], "source": source, "score": score, "ord": o} for a, b, k, source, score, o in spans
@@ -116,7 +116,7 @@ def matches(text: Column, joined: bool = False, policy: Policy | None = None, ta
     """Lexicon spans of blocks joined with per_document()."""
     none = F.lit(None).cast("array<struct<start:int,end:int,label:string,text:string>>")
     columns = [text, F.col("aliases"), F.col("places"), F.col("people"), F.col("orgs"), F.col("tagged") if tagged else none]
-    columns.append(F.col("common") if tagged else F.lit(None).cast("array<string>"))
+    columns += [F.col(c) if tagged else F.lit(None).cast("array<string>") for c in ("common", "tagged_places")]
     columns[0] = F.when((F.size("aliases") > 0) | (F.size("places") > 0) | F.lit(tagged), text)
     return F.pandas_udf(_match_batches(policy or Policy(), tagged), S.SPANS)(*columns)
 

@@ -11,10 +11,11 @@ until an audit needs them as rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
+from ..functions.lexicons import INSTITUTIONS, STATES
 from ..functions.text import normalise, squeeze
 from ..operators import detectors, learn, match, surrogates
 from ..policy import Policy
@@ -56,10 +57,16 @@ class Engine:
 
     # -- pass 1 -------------------------------------------------------------------
     def tagged(self, blocks: DataFrame) -> DataFrame:
-        """blocks with the tagger's spans, if the policy has one; else unchanged."""
+        """blocks with the tagger's spans, if the policy has one; else unchanged. Kinds of places are
+        one, and short texts, public bodies and states are no names."""
         if self.policy.tagger is None:
             return blocks
-        return blocks.withColumn("tagged", F.pandas_udf(self.policy.tagger, TAGGED)(F.col("text")))
+        raw = F.pandas_udf(self.policy.tagger, TAGGED)(F.col("text"))
+        place = lambda s: s.label.isin("PLACE", "GPE", "LOC", "FAC")
+        known = F.transform(raw, lambda s: s.withField("label", F.when(place(s), F.lit("PLACE")).otherwise(s.label)))
+        public = lambda s: F.lower(F.btrim(s.text)).isin(*sorted(INSTITUTIONS | STATES))
+        fit = lambda s: s.label.isin("PERSON", "ORG", "PLACE") & (F.length(F.btrim(s.text)) >= 3) & ((s.label == "PLACE") | ~public(s))
+        return blocks.withColumn("tagged", F.filter(F.coalesce(known, F.array().cast(TAGGED)), fit))
 
     def learn(self, blocks: DataFrame, table_rows: DataFrame | None = None) -> DataFrame:
         return learn.learn(blocks, table_rows, self.policy)
@@ -82,9 +89,12 @@ class Engine:
             common = learn.vocabulary(blocks).where(F.col("n") >= learn.COMMON).join(words, ["doc_id", "word"], "left_semi")
             common = common.groupBy(F.col("doc_id").alias("word_doc")).agg(F.collect_list("word").alias("common"))
             both = both.join(common, both.doc_id == common.word_doc, "left").drop("word_doc")
+            seen = blocks.select(F.col("doc_id").alias("place_doc"), F.explode("tagged").alias("t")).where("t.label = 'PLACE'")
+            seen = seen.groupBy("place_doc").agg(F.collect_set(normalise(F.col("t.text"))).alias("tagged_places"))
+            both = both.join(seen, both.doc_id == seen.place_doc, "left").drop("place_doc")
         spans = F.concat(found, match.matches(text, policy=self.policy, tagged=has_tags))
         out = both.withColumn("spans", S.merge(F.filter(spans, lambda s: s.isNotNull())))
-        return out.drop("lex_doc", "aliases", "places", "people", "orgs", "common")
+        return out.drop("lex_doc", "aliases", "places", "people", "orgs", "common", "tagged_places")
 
     # -- replacement --------------------------------------------------------------
     def mapping(self, detected: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
@@ -180,3 +190,30 @@ def report(redacted: DataFrame) -> DataFrame:
     listed = kinds.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "label", "n"))).alias("x"))
     by_type = F.transform("x", lambda v: F.struct(v.label.alias("label"), v.n.alias("n")))
     return size.join(listed, "doc_id", "left").select("doc_id", "blocks", "blocks_changed", "detections", by_type.alias("by_type"))
+
+
+def lexicon_summary(lexicon: DataFrame) -> DataFrame:
+    """(doc_id, people, companies, aliases, places, rejected)."""
+    count = lambda cond: F.count_if(cond)
+    kind = F.col("kind")
+    return lexicon.groupBy("doc_id").agg(
+        count(kind == "PERSON").alias("people"), count(kind == "ORG").alias("companies"), count(kind.startswith("ALIAS:")).alias("aliases"),
+        count(kind == "PLACE").alias("places"), count(kind.startswith("REJECTED:")).alias("rejected"),
+    )
+
+
+def observed(df: DataFrame, stage: str) -> tuple[DataFrame, Observation]:
+    """df that reports, when it has been read, how many rows a stage handled: progress without a
+    second job. The observation's get waits for the figures."""
+    seen = Observation(stage)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def ablation(blocks: DataFrame, policies: dict[str, Policy], table_rows: DataFrame | None = None) -> DataFrame:
+    """(variant, label, n): detections of the same blocks under several policies."""
+    out = None
+    for name, policy in policies.items():
+        audit = Engine(policy).run(blocks, table_rows)["audit"]
+        part = audit.groupBy("label").agg(F.count("*").alias("n")).select(F.lit(name).alias("variant"), "label", "n")
+        out = part if out is None else out.unionByName(part)
+    return out

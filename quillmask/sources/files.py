@@ -70,3 +70,13 @@ def existing(spark: SparkSession, registry: dict[str, str]) -> dict[str, str]:
         return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
     return {name: path for name, path in registry.items() if there(path)}
+
+
+def metrics_json(totals: DataFrame, per_label: DataFrame, tokens: DataFrame) -> DataFrame:
+    """One row `json`: overall scores, token accuracy and scores per label. totals and per_label have
+    tp, fp, fn, precision, recall, f1 (per_label: and label); tokens has correct and total."""
+    names = ["tp", "fp", "fn", "precision", "recall", "f1"]
+    overall = totals.select(F.struct(*names).alias("overall"))
+    accuracy = tokens.agg(F.round(F.sum("correct") / F.sum("total"), 4).alias("token_accuracy"))
+    kinds = per_label.where("label IS NOT NULL").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", F.struct(*names))))).alias("per_type"))
+    return overall.crossJoin(accuracy).crossJoin(kinds).select(F.to_json(F.struct("overall", "token_accuracy", "per_type")).alias("json"))  # single rows
