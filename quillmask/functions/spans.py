@@ -75,21 +75,19 @@ def priority(label_: Column) -> Column:
 def merge(spans: Column) -> Column:
     """The spans that stay: longest first, then by priority of the label, score, start and
     order of emission; whatever overlaps one that stays goes. By start."""
-    ranked = F.array_sort(
-        F.transform(
-            spans,
-            lambda s: F.struct(
-                (s.start - s.end).alias("a"), (-priority(s.label)).alias("b"), (-s.score).alias("c"), s.start.alias("d"), s.ord.alias("e"), s.alias("s")
-            ),
-        )
-    )
     none = F.array().cast(SPANS)
 
+    def rank(s: Column) -> Column:
+        keys = ((s.start - s.end).alias("a"), (-priority(s.label)).alias("b"), (-s.score).alias("c"), s.start.alias("d"), s.ord.alias("e"))
+        return F.struct(*keys, s.alias("s"))
+
     def step(kept: Column, r: Column) -> Column:
         return F.when(F.exists(kept, lambda k: overlaps(k, r.s)), kept).otherwise(F.concat(kept, F.array(r.s)))
 
-    kept = F.aggregate(ranked, none, step)
-    return F.when(F.size(spans) < 2, spans).otherwise(F.array_sort(kept))
+    def kept_of(all_: Column) -> Column:
+        return F.when(F.size(all_) < 2, all_).otherwise(F.array_sort(F.aggregate(F.array_sort(F.transform(all_, rank)), none, step)))
+
+    return let(spans, kept_of)
 
 
 def splice(text: Column, edits: Column) -> Column:
@@ -105,3 +103,26 @@ def splice(text: Column, edits: Column) -> Column:
         return F.aggregate(es, begin, step, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text))))
 
     return F.when(F.size(edits) == 0, text).otherwise(build(edits))
+
+
+def write_back(pieces: Column, edits: Column) -> Column:
+    """pieces array<struct<text,editable>> of a block with edits made: a replacement goes into the
+    first editable piece that its span touches, later ones lose what the span covers, and
+    pieces that aren't editable stay."""
+
+    def one(ps: Column, e: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.lit(True).alias("first"), F.array().cast("array<struct<text:string,editable:boolean>>").alias("out"))
+
+        def step(acc: Column, p: Column) -> Column:
+            lo, hi = acc.at, acc.at + F.length(p.text)
+            touched = p.editable & (lo < e.end) & (e.start < hi)
+            head = F.when(acc.first, F.substring(p.text, F.lit(1), F.greatest(e.start - lo, F.lit(0)))).otherwise(F.lit(""))
+            tail = F.when(e.end <= hi, F.substring(p.text, e.end - lo + 1, F.length(p.text))).otherwise(F.lit(""))
+            new = F.concat(head, F.when(acc.first, e.replacement).otherwise(F.lit("")), tail)
+            piece = F.struct(F.when(touched, new).otherwise(p.text).alias("text"), p.editable.alias("editable"))
+            return F.struct(hi.cast("int").alias("at"), (acc.first & ~touched).alias("first"), F.concat(acc.out, F.array(piece)).alias("out"))
+
+        return F.aggregate(ps, begin, step, lambda acc: acc.out)
+
+    # from the right, so that places to the left stay
+    return F.aggregate(F.reverse(edits), pieces, one)

@@ -38,3 +38,23 @@ def py_clean(text: str) -> str:
 def literal_pattern(value: str) -> str:
     """A pattern for a literal whose blanks match any white space."""
     return r"\s+".join(re.escape(p) for p in value.split())
+
+
+def any_of(words) -> str:
+    """A pattern for any of many words, sharing their beginnings: a scanner decides on the first
+    letter instead of trying every word. Blanks match any white space."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for c in " ".join(word.split()):
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        branches = [(r"\s+" if c == " " else re.escape(c)) + pattern(n) for c, n in sorted(node.items()) if c]
+        if not branches:
+            return ""
+        joined = branches[0] if len(branches) == 1 and "" not in node else "(?:" + "|".join(branches) + ")"
+        return joined + ("?" if "" in node else "")
+
+    return pattern(tree)

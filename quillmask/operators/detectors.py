@@ -43,6 +43,8 @@ _MONTHS = "January|February|March|April|May|June|July|August|September|October|N
 DATE = rf"(?U)\b(?:(?:{_MONTHS})\.?\s+\d{{1,2}},?\s+(?:19|20)\d{{2}}|\d{{1,2}}\s+(?:{_MONTHS})\.?,?\s+(?:19|20)\d{{2}}|\d{{1,2}}[/-]\d{{1,2}}[/-](?:19|20)?\d{{2}})\b"
 BIRTH = r"(?iU)\b(?:date\s+of\s+birth|d\.?o\.?b\.?|born\s+(?:on|in)|birthday)\b"
 BIRTH_REACH = 80
+#: What a block must have for each label; for labels that aren't here, a digit.
+MAYBE = {"EMAIL": "@", "URL": "(?i:www|http)", "IP_ADDRESS": r"\d|:[A-Fa-f0-9]{1,4}:"}
 
 
 @dataclass(frozen=True)
@@ -128,8 +130,10 @@ def structured(text: Column, section: Column, wants: Callable[[str], bool] = lam
         parts.append(F.filter(split_contacts(text), lambda s: s.label.isin([x for x in ("EMAIL", "URL") if wants(x)])))
     if wants("NATIONAL_ID"):
         parts.append(S.label(din_column(text, section), "NATIONAL_ID", "context:din-column", 0.9, ORD_DIN_COLUMN))
-    parts += [f(text, section) for f in _own]
-    return F.concat(*parts) if parts else F.array().cast(S.SPANS)
+    none = F.array().cast(S.SPANS)
+    maybe = dict.fromkeys(MAYBE.get(d.label, r"\d") for d in DETECTORS if wants(d.label))
+    found = F.when(text.rlike("(?U)" + "|".join(maybe)), F.concat(*parts)).otherwise(none) if parts else none
+    return F.concat(found, *[f(text, section) for f in _own]) if _own else found
 
 
 def detect(text: Column, section: Column | None = None, policy: Policy | None = None) -> Column:

@@ -186,14 +186,16 @@ def email(text: Column, seed: int, surnames: Column, firsts: Column, domains: Co
 
     def part(p: Column) -> Column:
         bare = F.lower(p)
-        number = let(_hex(seed, "num", bare), lambda h: (1 + _number(h) % 99).cast("string"))
+        number = lambda run: let(_hex(seed, "num", run), lambda h: (1 + _number(h) % 99).cast("string"))
+        runs = F.regexp_extract_all(bare, F.lit(r"\d+|\D+"), F.lit(0))
+        renumbered = F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), number(x)).otherwise(x)), "")
         role = bare.isin(*sorted(L.ROLE_MAILBOXES)) | ~bare.rlike(r"(?U)^\p{L}+$") | (F.length(bare) <= 2)
         return (
             F.when(p.rlike(r"^[._\-]$"), p)
             .when(F.array_contains(surnames, bare), F.lower(surname(bare, seed)))
             .when(F.array_contains(firsts, bare), F.lower(first_name(bare, seed)))
             .when(F.element_at(domains, bare).isNotNull(), F.element_at(domains, bare))
-            .when(role, F.when(bare.rlike(r"\d"), F.concat(F.regexp_replace(bare, r"\d+.*$", ""), number, F.regexp_replace(bare, r"^[^\d]*\d+", ""))).otherwise(bare))
+            .when(role, renumbered)
             .otherwise(F.lower(first_name(bare, seed)))
         )
 

@@ -5,6 +5,7 @@ where no letter with an accent touches a boundary of a match."""
 
 from __future__ import annotations
 
+from .functions import lexicons as L
 from .operators.detectors import DETECTORS, Detector
 from .policy import TEXT_PRIORITY, Policy
 
@@ -124,3 +125,39 @@ def surrogate_shape(v: str) -> str:
     c, letter = f"substr({v}, i, 1)", f"substr('ABCDEFGHJKLMNPQRSTUVWXYZ', {n} % 24 + 1, 1)"
     one = f"CASE WHEN regexp_matches({c}, '^\\d$') THEN CAST({n} % 10 AS VARCHAR) WHEN regexp_matches({c}, '^\\p{{Lu}}$') THEN {letter} WHEN regexp_matches({c}, '^\\p{{L}}$') THEN lower({letter}) ELSE {c} END"
     return f"array_to_string(list_transform(range(1, length({v}) + 1), lambda i: {one}), '')"
+
+
+def picked(pool: list[str], hex_: str, at: int = 1) -> str:
+    return "[" + ", ".join(map(quoted, pool)) + f"][CAST('0x' || substr({hex_}, {at}, 12) AS BIGINT) % {len(pool)} + 1]"
+
+
+def domain(root: str) -> str:
+    """The invented host of a root that no company of the document has."""
+    h = stream("domain", root)
+    return f"(substr(regexp_replace(lower({picked(L.ORG_HEADS, h)} || {picked(L.ORG_TAILS, h, 13)}), '[^a-z0-9]', '', 'g'), 1, 14) || '.example.com')"
+
+
+def root_of(host: str) -> str:
+    return f"string_split(regexp_replace({host}, '\\.[^.]*$', ''), '.')[1]"
+
+
+def surrogate_email(v: str) -> str:
+    """Without a lexicon."""
+    host = f"lower(string_split({v}, '@')[2])"
+    free = ", ".join(quoted(x) for x in sorted(L.FREE_MAIL))
+    roles = ", ".join(quoted(x) for x in sorted(L.ROLE_MAILBOXES))
+    low = "lower(p)"
+    number = f"CAST(1 + CAST('0x' || substr({stream('num', 'r')}, 1, 12) AS BIGINT) % 99 AS VARCHAR)"
+    runs = f"array_to_string(list_transform(regexp_extract_all({low}, '\\d+|\\D+'), lambda r: CASE WHEN regexp_matches(r, '^\\d') THEN {number} ELSE r END), '')"
+    name = f"lower({picked(L.FIRST_NAMES, stream('first', low))})"
+    role = f"{low} IN ({roles}) OR NOT regexp_matches({low}, '^\\p{{L}}+$') OR length({low}) <= 2"
+    part = f"CASE WHEN regexp_matches(p, '^[._\\-]$') THEN p WHEN {role} THEN {runs} ELSE {name} END"
+    local = f"array_to_string(list_transform(regexp_extract_all(string_split({v}, '@')[1], '[._\\-]|[^._\\-]+'), lambda p: {part}), '')"
+    return f"{local} || '@' || CASE WHEN {host} IN ({free}) THEN 'example.com' ELSE {domain(root_of(host))} END"
+
+
+def surrogate_url(v: str) -> str:
+    """Without a lexicon the path stays."""
+    p = "'(?is)^(https?://)?(www\\.)?([^/]+)(/.*)?$'"
+    group = lambda k: f"regexp_extract({v}, {p}, {k})"
+    return f"{group(1)} || {group(2)} || {domain(root_of(f'lower({group(3)})'))} || {group(4)}"

@@ -13,8 +13,9 @@ from . import oracle as O
 from .functions import spans as S
 from .functions.text import normalise, squeeze
 from .operators import detectors, evalkit, images, learn, links, match, surrogates
-from .plans.engine import Engine, as_blocks
+from .plans.engine import Engine, as_blocks, lexicon_summary
 from .policy import Policy
+from .sources import docx, files, samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -141,14 +142,14 @@ for _name, _label, _of, _sql in (
     query(_name, _s)(_run)
 
 
-@query("surrogate_email")
+@query("surrogate_email", f"SELECT value, {O.surrogate_email('value')} AS replacement FROM (SELECT DISTINCT value FROM ({_FLAT}) WHERE label = 'EMAIL')")
 def surrogate_email(spark, sf_dir):
     none, empty = F.array().cast("array<string>"), F.create_map().cast("map<string,string>")
     v = detect_all_merged(spark, sf_dir).where("label = 'EMAIL'").select("value").distinct()
     return v.select("value", surrogates.email(F.col("value"), Policy.seed, none, none, empty).alias("replacement"))
 
 
-@query("surrogate_url")
+@query("surrogate_url", f"SELECT value, {O.surrogate_url('value')} AS replacement FROM (SELECT DISTINCT url AS value FROM pages)")
 def surrogate_url(spark, sf_dir):
     none, empty = F.array().cast("array<string>"), F.create_map().cast("map<string,string>")
     v = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("value")).distinct()
@@ -635,6 +636,191 @@ def fx_squeeze(spark, sf_dir):
     return spark.createDataFrame([(" a\t b \nc ",)], "t string").select(squeeze(F.col("t")).alias("out"))
 
 
+def _packages(spark) -> DataFrame:
+    rows = [(name, bytearray(content)) for name, content in sorted(samples.samples().items())]
+    return spark.createDataFrame(rows, "doc_id string, content binary")
+
+
+@query(
+    "fx_docx_blocks",
+    O.values(
+        [("doc_id", "VARCHAR"), ("block_id", "INTEGER"), ("part", "VARCHAR"), ("section", "VARCHAR"), ("text", "VARCHAR")],
+        [
+            ("ticket_log.docx", 0, "body", "", "Ticket log"),
+            *[("ticket_log.docx", 1 + k, "body", "Ticket | Date | Customer | Contact", t) for k, t in enumerate(
+                ["Ticket", "Date", "Customer", "Contact", "TKT-100294", "04/03/2021", "Mr. Bo Luxemore", "bo.luxemore@mail.example.org"])],
+            ("ticket_log.docx", 9, "body", "", "Card 4111 1111 1111 1111 was charged twice from 10.0.12.7."),
+            ("ticket_log.docx", 10, "body", "", "Mr. Bo Luxemore is our client; Luxemore called again."),
+        ],
+    ),
+)
+def fx_docx_blocks(spark, sf_dir):
+    return docx.blocks(_packages(spark)).where("doc_id = 'ticket_log.docx'").drop("pieces")
+
+
+@query(
+    "fx_docx_rows",
+    O.values(
+        [("doc_id", "VARCHAR"), ("row_id", "INTEGER"), ("cells", "VARCHAR")],
+        [
+            ("claim_form.docx", 1, "PAN|ABCDE1234F"), ("claim_form.docx", 2, "Bank account number|12345678901234"), ("claim_form.docx", 3, "Sum insured|1,10,000"),
+            ("offer_letter.docx", 1, "Rupa K. Sample|39,062"), ("ticket_log.docx", 1, "TKT-100294|04/03/2021|Mr. Bo Luxemore|bo.luxemore@mail.example.org"),
+        ],
+    ),
+)
+def fx_docx_rows(spark, sf_dir):
+    return docx.table_rows(_packages(spark)).select("doc_id", "row_id", F.array_join("cells", "|").alias("cells"))
+
+
+@query(
+    "fx_docx_images",
+    O.values(
+        [("doc_id", "VARCHAR"), ("name", "VARCHAR"), ("context", "VARCHAR"), ("label", "VARCHAR")],
+        [("offer_letter.docx", "/word/media/image1.png", "For and on behalf of the Board", "IMAGE_UNCLASSIFIED")],
+    ),
+)
+def fx_docx_images(spark, sf_dir):
+    found = images.analyse(docx.images(_packages(spark)))
+    decided = images.decide(found).select("doc_id", "name", "label")
+    # the context ends with the paragraph next to the picture
+    return found.select("doc_id", "name", F.regexp_extract("context", "(For and on behalf of the Board)$", 1).alias("context")).join(decided, ["doc_id", "name"])
+
+
+@query(
+    "fx_docx_rewrite",
+    O.values(
+        [("doc_id", "VARCHAR"), ("block_id", "INTEGER"), ("text", "VARCHAR")],
+        [("ticket_log.docx", 8, "[EMAIL_1]"), ("ticket_log.docx", 9, "Card [CREDIT_CARD_1] was charged twice from [IP_ADDRESS_1]."), ("ticket_log.docx", 10, "Mr. [PERSON_1] is our client; [PERSON_2] called again.")],
+    ),
+)
+def fx_docx_rewrite(spark, sf_dir):
+    """Read, redact, write back, read again."""
+    packages = _packages(spark).where("doc_id = 'ticket_log.docx'")
+    redacted = Engine(Policy(mode="tag")).run(docx.blocks(packages).drop("pieces"), docx.table_rows(packages))["redacted"]
+    out = docx.rewritten(packages, redacted.select("doc_id", "block_id", "edits"))
+    return docx.blocks(out).where("block_id >= 8").select("doc_id", "block_id", "text")
+
+
+@query("fx_terms", O.values([("severity", "VARCHAR"), ("anchor", "VARCHAR"), ("term", "VARCHAR")], [("CRITICAL", "a", "x"), ("CRITICAL", "a", "y"), ("HIGH", "b", "z")]))
+def fx_terms(spark, sf_dir):
+    raw = spark.createDataFrame([('{"_comment": ["no"], "CRITICAL": {"a": ["x", "y"]}, "HIGH": {"b": ["z"]}}',)], "value string")
+    return files.terms_of(raw)
+
+
+@query(
+    "fx_mapping_json",
+    O.values([("doc_id", "VARCHAR"), ("json", "VARCHAR")], [("d", '{"ORG":{"Acme":"X"},"PERSON":{"Ana":"Bea","Zed":"Yan"}}')]),
+)
+def fx_mapping_json(spark, sf_dir):
+    rows = [("d", "PERSON", "Zed", "Yan"), ("d", "ORG", "Acme", "X"), ("d", "PERSON", "Ana", "Bea")]
+    return files.mapping_json(spark.createDataFrame(rows, "doc_id string, label string, original string, replacement string"))
+
+
+@query(
+    "fx_csv",
+    O.values(
+        [(c, "VARCHAR") for c in files.CSV_COLUMNS],
+        [("3", "body", "IP_ADDRESS", "10.0.12.7", "10.1.2.3", "10.1.2.3", "regex:ipv4", "1.00"), ("/word/media/i.png", "media", "IMAGE_CLEAN", "12x12 PNG; ink=0.050", "kept", "", "image:icon", "1.00")],
+    ),
+)
+def fx_csv(spark, sf_dir):
+    audit = spark.createDataFrame(
+        [("d", 3, "body", "IP_ADDRESS", 0, 9, "10.0.12.7", "10.1.2.3", "10.1.2.3", "regex:ipv4", "1.00")],
+        "doc_id string, block int, part string, label string, start int, end int, original string, replacement string, find_in_output string, detector string, score string",
+    )
+    pictures = spark.createDataFrame([("d", "/word/media/i.png", "", "icon", "kept", "12x12 PNG; ink=0.050")], "doc_id string, name string, label string, reason string, action string, summary string")
+    return files.detections_csv(audit, pictures).drop("doc_id")
+
+
+@query(
+    "fx_surrogate_rules",
+    O.values(
+        [("rule", "VARCHAR"), ("holds", "BOOLEAN")],
+        [(r, True) for r in ("surname kept", "capitals kept", "mail follows name", "company core", "company acronym", "suffix spelled", "link path", "phone layout", "place code", "initial kept")],
+    ),
+)
+def fx_surrogate_rules(spark, sf_dir):
+    """Related values stay related: one row a rule."""
+    lex = spark.createDataFrame(
+        [
+            ("d", "PERSON", "arjun testwalla", "Arjun Testwalla", None, 1, ["x"], None), ("d", "ORG", "ksh trading limited", "KSH Trading LIMITED", None, 1, ["x"], None),
+            ("d", "ALIAS:ORG", "ksh trading limited", "KSH", "ksh", 0, ["x"], None), ("d", "ALIAS:ORG", "ksh trading limited", "KSH Trading", "ksh trading", 0, ["x"], None),
+            ("d", "ALIAS:ORG", "ksh trading limited", "KSH Trading LIMITED", "ksh trading limited", 0, ["x"], None), ("d", "PLACE", "norvale", "Norvale", None, 0, ["x"], None),
+        ],
+        learn.LEXICON,
+    )
+    values = [("PERSON", "Arjun Testwalla"), ("PERSON", "TESTWALLA"), ("PERSON", "A. Testwalla"), ("EMAIL", "arjun.testwalla@kshtrading.com"), ("ORG", "KSH Trading Limited"), ("ORG", "KSH Trading"),
+              ("ORG", "KSH"), ("URL", "https://www.kshtrading.com/u/testwalla"), ("PHONE", "+91 (20) 4505-3237"), ("LOCATION", "Norvale – 411 999")]
+    blocks = spark.createDataFrame([("d", k, label, v) for k, (label, v) in enumerate(values)], "doc_id string, block_id int, label string, v string")
+    span = F.struct(F.lit(0).alias("start"), F.length("v").alias("end"), "label", F.col("v").alias("text"), F.lit("").alias("source"), F.lit(1.0).alias("score"), F.lit(0).alias("ord"))
+    m = Engine().mapping(blocks.select("doc_id", "block_id", F.array(span).alias("spans")), lex)
+    one = m.agg(*[F.max(F.when((F.col("label") == label) & (F.col("original") == v), F.col("replacement"))).alias(f"v{k}") for k, (label, v) in enumerate(values)])
+    last, low = F.element_at(F.split("v0", " "), -1), F.lower("v0")
+    plain = lambda c: F.regexp_replace(c, r"\d", "0")
+    rules = {
+        "surname kept": F.lower("v1") == F.lower(last),
+        "capitals kept": F.col("v1") == F.upper("v1"),
+        "mail follows name": F.col("v3").startswith(F.concat(F.regexp_replace(low, " ", "."), F.lit("@"))) & F.col("v3").endswith(".example.com"),
+        "company core": F.col("v4") == F.concat(F.col("v5"), F.lit(" Limited")),
+        "company acronym": F.col("v6") == F.array_join(F.transform(F.split("v5", " "), lambda w: F.substring(w, 1, 1)), ""),
+        "suffix spelled": F.col("v4").endswith(" Limited"),
+        "link path": F.col("v7").endswith(F.concat(F.lit(".example.com/u/"), F.lower(last))) & F.col("v7").startswith("https://www."),
+        "phone layout": (plain("v8") == "+00 (00) 0000-0000") & F.col("v8").startswith("+91"),
+        "place code": F.col("v9").rlike(r"^\p{L}[\p{L} ]+ – \d{3} \d{3}$"),
+        "initial kept": F.col("v2").rlike(r"^[A-Z]\. ") & F.col("v2").endswith(last),
+    }
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.coalesce(v, F.lit(False)).alias("holds")) for k, v in rules.items()])).alias("r")).select("r.*")
+
+
+@query(
+    "fx_rejections",
+    O.values(
+        [("kind", "VARCHAR"), ("name", "VARCHAR"), ("reason", "VARCHAR")],
+        [("PERSON", "Ana Harbour", "contains a word the document uses in prose"), ("PERSON", "Mira RTA", "contains an abbreviation, not a given name"), ("ORG", "Securities Limited", "bare legal suffix, no name")],
+    ),
+)
+def fx_rejections(spark, sf_dir):
+    texts = ["Ms. Ana Harbour is our guest.", "the harbour and a harbour by the harbour", "being Mira RTA today", "paid to Securities Limited today"]
+    blocks = spark.createDataFrame([("d", k, "body", "", t) for k, t in enumerate(texts)], "doc_id string, block_id int, part string, section string, text string")
+    found = Engine().learn(blocks).where(F.col("kind").startswith("REJECTED"))
+    return found.select(F.regexp_extract("kind", ":(.*)", 1).alias("kind"), "name", "reason")
+
+
+@query("fx_lexicon_summary", O.values([("doc_id", "VARCHAR"), ("people", "BIGINT"), ("companies", "BIGINT"), ("aliases", "BIGINT"), ("places", "BIGINT"), ("rejected", "BIGINT")], [("d1", 2, 1, 9, 4, 0), ("d2", 1, 0, 5, 0, 0)]))
+def fx_lexicon_summary(spark, sf_dir):
+    return lexicon_summary(Engine().learn(_story(spark), _story_rows(spark)))
+
+
+@query("fx_leaks", O.values([("original", "VARCHAR"), ("occurrences", "BIGINT")], [("Acme (North) Ltd.", 2)]))
+def fx_leaks(spark, sf_dir):
+    mapping = spark.createDataFrame([("d", "ORG", "Acme (North) Ltd.", "x"), ("d", "ORG", "abc", "y"), ("d", "ORG", "Gone Ltd.", "z")], "doc_id string, label string, original string, replacement string")
+    out = spark.createDataFrame([("d", "still Acme  (North)\tLtd. and Acme (North) Ltd."), ("e", "Gone Ltd.")], "doc_id string, redacted string")
+    return evalkit.leaks(mapping, out).select("original", "occurrences")
+
+
+@query("fx_image_leaks", O.values([("name", "VARCHAR"), ("original", "VARCHAR")], [("i1", "Zenvale Components")]))
+def fx_image_leaks(spark, sf_dir):
+    mapping = spark.createDataFrame([("d", "ORG", "Zenvale Components", "x"), ("d", "ORG", "Acme", "y")], "doc_id string, label string, original string, replacement string")
+    recovered = spark.createDataFrame([("d", "i1", "ZENVALE\ncompo nents"), ("d", "i2", "acme")], "doc_id string, name string, text string")
+    return evalkit.image_leaks(mapping, recovered).select("name", "original")
+
+
+@query("fx_before_after", O.values([("name", "VARCHAR"), ("same", "BOOLEAN")], [("a", True), ("b", False), ("c", None)]))
+def fx_before_after(spark, sf_dir):
+    schema = "doc_id string, name string, content binary"
+    before = spark.createDataFrame([("d", n, bytearray(b"1")) for n in "abc"], schema)
+    after = spark.createDataFrame([("d", "a", bytearray(b"1")), ("d", "b", bytearray(b"2"))], schema)
+    return evalkit.before_after(before, after).select("name", (F.col("before") == F.col("after")).alias("same"))
+
+
+@query("fx_run_writeback", O.values([("k", "INTEGER"), ("piece", "VARCHAR")], [(0, "Mr. [PERSON_1]"), (1, ""), (2, " signed"), (3, "\t"), (4, "[EMAIL_1]"), (5, " now")]))
+def fx_run_writeback(spark, sf_dir):
+    """What replaces a span goes into the first run it touches; breaks stay."""
+    pieces = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(e).alias("editable")) for t, e in (("Mr. An", True), ("a Sample", True), (" signed", True), ("\t", False), ("a@b.ex", True), ("ample.org now", True))])
+    edits = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(r).alias("replacement")) for a, b, r in ((4, 14, "[PERSON_1]"), (22, 37, "[EMAIL_1]"))])
+    return spark.range(1).select(F.posexplode(S.write_back(pieces, edits)).alias("k", "p")).select("k", F.col("p.text").alias("piece"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: documents with their structured spans replaced by numbered tags."""
     return redact_tag(spark, sf_dir)

@@ -27,7 +27,11 @@ def extra_terms(path: str) -> dict[str, str]:
 def reidentification_terms(spark: SparkSession, path: str) -> DataFrame:
     """(severity, anchor, term) of a {severity: {anchor: [term]}} file; keys that begin with an
     underscore, and what is no object, are commentary."""
-    raw = spark.read.text(path, wholetext=True)
+    return terms_of(spark.read.text(path, wholetext=True))
+
+
+def terms_of(raw: DataFrame) -> DataFrame:
+    """(severity, anchor, term) of JSON texts `value`."""
     kinds = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("severity", "rest")).where(~F.col("severity").startswith("_"))
     anchors = kinds.select("severity", F.explode(F.from_json("rest", "map<string,array<string>>")).alias("anchor", "terms"))
     return anchors.select("severity", "anchor", F.explode("terms").alias("term"))
