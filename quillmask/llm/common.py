@@ -4,6 +4,7 @@ folder, checked broadcasts, and the text conventions of the contracts."""
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -18,6 +19,9 @@ WS_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 #: many (each a few dozen bytes, so 10 MB or so in memory).
 BROADCAST_ROWS = 200_000
 
+#: Bytes of rows that go to a Python worker at once, at most.
+ARROW_BYTES = 8 << 20
+
 _own_dir: str | None = None
 
 
@@ -55,7 +59,15 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    settled = spark.read.schema(df.schema).parquet(path)
+    settled._settled_at = path
+    return settled
+
+
+def forget(*settled: DataFrame) -> None:
+    """Delete the files of settled tables that nothing will read again."""
+    for df in settled:
+        discard(df.sparkSession, df._settled_at)
 
 
 def settle_bucketed(df: DataFrame, tag: str, buckets: int, key: str) -> DataFrame:
@@ -71,7 +83,9 @@ def settle_bucketed(df: DataFrame, tag: str, buckets: int, key: str) -> DataFram
         .option("path", scratch(spark, tag))
         .saveAsTable(name)
     )
-    return spark.table(name)
+    df = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # an external table: its files and the plan stay, no catalog fills up
+    return df
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -115,3 +129,14 @@ def parallel_width(spark: SparkSession) -> int:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def bounded_memory(spark: SparkSession) -> None:
+    """Settings of this session that keep memory outside the heap bounded: Parquet is read without
+    vectored reads, which hold whole column chunks in buffers of their threads, and Arrow batches
+    have at most ARROW_BYTES, however long the texts are."""
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not re.fullmatch(r"\d+b?", now) or int(now.rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))

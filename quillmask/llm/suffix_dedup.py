@@ -40,9 +40,9 @@ WINDOW = 200
 K = 64
 STEP = 8
 #: Bytes that are hashed at once; bounds the memory of a task.
-SLICE = 1 << 19
+SLICE = 1 << 18
 #: Bits of a packed minimiser that hold its place in the slice.
-PLACE = 21
+PLACE = 20
 U = np.uint64
 
 
@@ -227,17 +227,23 @@ def _refine(rows: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
     are known to be repeated, they are here as partners of others. Returns the windows
     found repeated (rid, start, n), and one suffix of each run in groups with several
     runs, for the next pass."""
+    spark = rows.sparkSession
     run = C.settle(
         rows.groupBy("digit", "run").agg(
             F.count("*").alias("times"), F.max("done").alias("done"), F.min(F.struct("rid", "start", "n", "place")).alias("one")
         ),
         tag + "-runs",
     )
+    C.free_shuffles(spark)
     same = run.where("times > 1").select("digit", "run")  # in two places, be they done or not
-    repeated = rows.where("done = 0").join(same, ["digit", "run"], "left_semi").select("rid", "start", "n")
+    found = C.settle(rows.where("done = 0").join(same, ["digit", "run"], "left_semi").select("rid", "start", "n"), tag + "-found")
+    C.free_shuffles(spark)
     groups = run.groupBy("digit").agg(F.count("*").alias("m")).where("m > 1").select("digit")
-    wanted = run.join(groups, "digit", "left_semi").select("one.*", F.when(F.col("times") > 1, F.lit(1)).otherwise(F.col("done")).cast("byte").alias("done"))
-    return C.settle(repeated, tag + "-found"), C.settle(wanted, tag + "-wanted")
+    done = F.when(F.col("times") > 1, F.lit(1)).otherwise(F.col("done")).cast("byte").alias("done")
+    wanted = C.settle(run.join(groups, "digit", "left_semi").select("one.*", done), tag + "-wanted")
+    C.forget(rows, run)
+    C.free_shuffles(spark)
+    return found, wanted
 
 
 def _with_wanted(bodies: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -276,6 +282,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """Struct `row` (docs without the text), n_bytes, n_removed, n_spans, kept (binary): every
     text without the bytes covered by a WINDOW-byte string that also starts anywhere else."""
     spark = docs.sparkSession
+    C.bounded_memory(spark)
     others = F.struct(*[docs[c] for c in docs.columns if c != text]).alias("row")
     body = F.encode(F.coalesce(docs[text], F.lit("")), "UTF-8").alias("body")
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), others, body)
@@ -283,11 +290,8 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     C.free_shuffles(spark)
     plain = bodies.select("rid", "body")
     found, wanted = _refine(C.settle(plain.mapInArrow(_minimisers, ROWS), "suffix-minimisers"), "suffix-1")
-    C.free_shuffles(spark)
     found2, wanted2 = _refine(C.settle(_with_wanted(plain, wanted).mapInArrow(_blocks, ROWS), "suffix-blocks"), "suffix-2")
-    C.free_shuffles(spark)
     found3, _ = _refine(C.settle(_with_wanted(plain, wanted2).mapInArrow(_windows, ROWS), "suffix-windows"), "suffix-3")
-    C.free_shuffles(spark)
     spans = found.unionByName(found2).unionByName(found3).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     cut = bodies.join(spans, "rid", "left").select("row", "body", "spans")
     schema = cut.select("row", *[F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")], F.col("body").alias("kept")).schema
