@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 #: Words that a worker remembers (some 200 MB of them), none longer than SHORT bytes.
 CACHE = 800_000
 SHORT = 64
@@ -228,6 +230,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", decode: bool = False
     """Struct `row` (docs without the text), `ids`, and with decode the text `decoded` back
     from the ids. then: a function from these record batches to others (of `schema`),
     which runs in the same Python worker, for callers that need less than the ids."""
+    C.bounded_memory(docs.sparkSession)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns if c != text]).alias("row"), docs[text].alias("body"))
     full = rows.select("row", F.lit(None).cast("array<int>").alias("ids"), *([F.col("body").alias("decoded")] if decode else [])).schema
     run = _encode_batches(path, decode)

@@ -88,6 +88,7 @@ def build_runs(
     docs: DataFrame, text: str = "text", by: Column | None = None, batches: int = BATCHES, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS
 ) -> LineRuns:
     """Feed docs to fresh runs in `batches` batches of whole documents, dealt by a hash of `by`."""
+    C.bounded_memory(docs.sparkSession)
     spark = docs.sparkSession
     runs = LineRuns(spark, C.parallel_width(spark), min_docs)
     deal = F.pmod(F.xxhash64(by if by is not None else docs[text]), F.lit(batches))

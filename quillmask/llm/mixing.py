@@ -149,6 +149,7 @@ def class_copies(classes: DataFrame, goal: DataFrame, cap: int = CAP) -> DataFra
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     """For each row of docs: rid (its place in the scan), doc_id, source, size, source_size,
     target, copies."""
+    C.bounded_memory(docs.sparkSession)
     sized = docs.select(
         F.monotonically_increasing_id().alias("rid"),
         docs[key].alias("key"),

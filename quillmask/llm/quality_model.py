@@ -85,6 +85,7 @@ def _features(batches):
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """Struct `row` (docs without the text) and the statistics x."""
+    C.bounded_memory(docs.sparkSession)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns if c != text]).alias("row"), F.encode(docs[text], "UTF-8").alias("body"))
     return rows.mapInArrow(_features, rows.select("row", F.lit(None).cast("array<double>").alias("x")).schema)
 

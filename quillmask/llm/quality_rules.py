@@ -100,7 +100,7 @@ def verdicts(
 ) -> DataFrame:
     """The rows of docs as struct `row` (without the text), with n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, n_frequent (words in frequent lines), base_failed, kept."""
-    spark = docs.sparkSession
+    C.bounded_memory(docs.sparkSession)
     base = docs.select(
         F.struct(*[docs[c] for c in docs.columns if c != text]).alias("row"),
         F.coalesce(docs[text], F.lit("")).alias("body"),

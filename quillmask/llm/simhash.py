@@ -75,6 +75,7 @@ def _fingerprints(n_words: int):
 
 def fingerprints(docs: DataFrame, text: str = "text", n_words: int = WORDS) -> DataFrame:
     """Struct `row` (docs without the text) and `fp`, the fingerprint as a signed long."""
+    C.bounded_memory(docs.sparkSession)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns if c != text]).alias("row"), F.encode(docs[text], "UTF-8").alias("body"))
     schema = rows.select("row", F.lit(0).cast("long").alias("fp")).schema
     return rows.mapInArrow(_fingerprints(n_words), schema)

@@ -219,6 +219,7 @@ def _write(folder: str, path: str, end_id: int, width: int):
 def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, key: str = "doc_id", text: str = "text", width: int = 2) -> DataFrame:
     """Write the ids of all texts under folder; returns the manifest (part, uri, n_docs, n_ids,
     base: ids of all shards before)."""
+    C.bounded_memory(docs.sparkSession)
     rows = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("body"))
     dealt = rows.repartitionByRange(C.parallel_width(docs.sparkSession), F.col("key").asc_nulls_first())
     ordered = dealt.sortWithinPartitions(F.col("key").asc_nulls_first(), "body")

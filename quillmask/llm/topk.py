@@ -151,6 +151,7 @@ def _score(k: int):
 def top_k(vectors: DataFrame, queries, key: str = "vec_id", vector: str = "embedding", k: int = K, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of vectors for which the condition
     `queries` on the column `id` holds, its k best other rows."""
+    C.bounded_memory(vectors.sparkSession)
     rows = C.settle(quantised(vectors, key, vector, scale), "topk-vectors")
     asked = rows.where(queries)
     n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))

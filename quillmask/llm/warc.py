@@ -170,6 +170,7 @@ def marked(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
 def write(pages: DataFrame, folder: str, **names) -> DataFrame:
     """Write all pages as bundles under folder. Returns the map of records, settled:
     page_id, bundle, frame, frame_offset, n_frames."""
+    C.bounded_memory(pages.sparkSession)
     schema = "page_id long, bundle string, frame int, frame_offset long, n_frames int"
     return C.settle(marked(pages, **names).mapInArrow(_write(folder), schema), "warc-map")
 
