@@ -65,6 +65,11 @@ def _rate(lam: Column, z: Column, cap: int) -> Column:
     return F.least(F.lit(float(cap)), F.exp(F.least(lam * z, F.lit(50.0))))
 
 
+def _exact(x: Column) -> Column:
+    """A sum that is the same in whatever order its rows come."""
+    return F.sum(x.cast("decimal(38,10)")).cast("double")
+
+
 def solve(classes: DataFrame, goal: DataFrame, cap: int = CAP) -> DataFrame:
     """(source, lam, scale) that meets goal's target in each source, by Newton steps on
     classes (source, size, n). A lambda of null stands for the cap."""
@@ -85,7 +90,7 @@ def solve(classes: DataFrame, goal: DataFrame, cap: int = CAP) -> DataFrame:
         sums = (
             classes.join(C.checked_broadcast(state), same)
             .groupBy(*keep)
-            .agg(F.sum(mass).alias("got"), F.sum(F.when(r < cap, mass * z).otherwise(0.0)).alias("slope"))
+            .agg(_exact(mass).alias("got"), _exact(F.when(r < cap, mass * z).otherwise(0.0)).alias("slope"))
         )
         over = F.col("got") > F.col("target")
         low, high = F.when(over, F.col("low")).otherwise(F.col("lam")), F.when(over, F.col("lam")).otherwise(F.col("high"))
