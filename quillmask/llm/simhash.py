@@ -94,7 +94,9 @@ def _variants(fps: DataFrame) -> DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints `fp`, with the same components as all
     pairs at two or fewer differing bits."""
-    rows = _variants(fps)
+    # a fingerprint becomes 64 rows: spread the few there are first, so that no task counts many
+    width = C.parallel_width(fps.sparkSession)
+    rows = _variants(fps.repartition(width, "fp"))
     buckets = C.settle(
         rows.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("n > 1"), "simhash-buckets"
     )
@@ -104,7 +106,7 @@ def links(fps: DataFrame) -> DataFrame:
     full = C.checked_broadcast(buckets.where("n > 2").select("key"), 1_000_000)
     crowded = C.settle(rows.join(full, "key", "left_semi").select("fp").distinct(), "simhash-crowded")
     middles = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for b in range(64)])
-    near_rows = crowded.select("fp", F.explode(middles).alias("m"))
+    near_rows = crowded.repartition(width, "fp").select("fp", F.explode(middles).alias("m"))
     stars = near_rows.join(near_rows.groupBy("m").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1"), "m")
     stars = stars.where("fp != a").select("a", F.col("fp").alias("b")).distinct()
     return pairs.unionByName(stars).distinct()
