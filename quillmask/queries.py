@@ -184,7 +184,20 @@ def detection_audit(spark, sf_dir):
     return audit.select("doc_id", "label", "start", "original", "detector", "score", "find_in_output")
 
 
-@query("redact_fake")
+_FAKE = (
+    f"CASE label WHEN 'PHONE' THEN {O.surrogate_phone('value')} WHEN 'CREDIT_CARD' THEN {O.surrogate_card('value')} WHEN 'IP_ADDRESS' THEN {O.surrogate_ip('value')} "
+    f"WHEN 'EMAIL' THEN {O.surrogate_email('value')} WHEN 'URL' THEN {O.surrogate_url('value')} END"
+)
+
+
+@query(
+    "redact_fake",
+    f"""WITH s AS ({_FLAT}), e AS (SELECT doc_id, list({{'start': start, 'stop': stop, 'fake': fake}} ORDER BY start) AS x
+        FROM (SELECT doc_id, start, stop, {_FAKE} AS fake FROM s) GROUP BY doc_id)
+    SELECT d.doc_id, CASE WHEN x IS NULL THEN text ELSE array_to_string(list_transform(range(1, len(x) + 1), lambda n:
+        substr(text, coalesce(x[n - 1].stop, 0) + 1, x[n].start - coalesce(x[n - 1].stop, 0)) || x[n].fake), '') || substr(text, x[len(x)].stop + 1) END AS redacted
+    FROM documents d LEFT JOIN e ON d.doc_id = e.doc_id""",
+)
 def redact_fake(spark, sf_dir):
     detected = _blocks_of(_detected(spark, sf_dir))
     return Engine().redact(detected, Engine().mapping(detected)).select("doc_id", "redacted")
