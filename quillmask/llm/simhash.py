@@ -113,8 +113,8 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n_words: int = WORDS) -> DataFrame:
-    """Struct `row` (docs without the text), fp, and component_id: the least `key` of the
-    rows that links reach."""
+    """Struct `row` (docs without the text), fp, root, which tells components apart whatever
+    their ids, and component_id: the least `key` of the rows that links reach."""
     prints = C.settle(fingerprints(docs, text, n_words), "simhash-prints")
     C.free_shuffles(docs.sparkSession)
     # a fingerprint's least id; ids may be null, so rows are counted too
@@ -123,8 +123,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n_
     C.free_shuffles(docs.sparkSession)
     roots = components(edges).select(F.col("node").alias("fp"), "root")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(names, "fp").select("row", "fp", "component_id")
+    names = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return prints.join(names, "fp").select("row", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", n_words: int = WORDS) -> DataFrame:
@@ -134,6 +134,6 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", n_word
     marked = near_duplicates(docs.select(rid.alias("rid"), docs[key].alias("key"), docs[text].alias("body")), "body", "key", n_words)
     first = F.min(F.struct(F.col("row.key").isNull(), F.col("row.key"), F.col("row.rid")))
     # the least of a component by id, without gathering it: combined before the shuffle
-    best = marked.groupBy("component_id").agg(first.alias("x")).select(F.col("x.rid").alias("keep"))
+    best = marked.groupBy("root").agg(first.alias("x")).select(F.col("x.rid").alias("keep"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), rid.alias("rid"))
     return rows.join(best, F.col("rid") == F.col("keep"), "left_semi").select("doc.*")

@@ -475,6 +475,15 @@ def test_op8_odd_rows(odd, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def test_op8_null_and_equal_ids_keep_different_texts(spark):
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(80)) for _ in range(6)]
+    rows = [(None, t) for t in texts[:3]] + [(7, t) for t in texts[3:]] + [(None, texts[0]), (7, texts[3]), (8, texts[4])]
+    docs = common.settle(spark.createDataFrame(rows, "doc_id long, text string"), "equal-ids")
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each(docs).collect()]
+    assert Counter(kept) == Counter([(None, t) for t in texts[:3]] + [(7, t) for t in texts[3:]])
+
+
 def test_components_of_a_long_chain(spark):
     n = 500
     order = list(range(n))
