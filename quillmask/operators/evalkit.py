@@ -96,12 +96,21 @@ def by_label(rows: DataFrame) -> DataFrame:
 
 
 def token_accuracy(rows: DataFrame) -> DataFrame:
-    """rows (text, predicted, gold) with `correct` and `total` tokens by redacted or not."""
-    covered = lambda spans, t: F.exists(spans, lambda s: S.overlaps(s, t))
-    tokens = S.find(F.col("text"), r"(?U)\S+")
-    out = rows.withColumn("tokens", tokens)
-    right = F.filter("tokens", lambda t: covered(F.col("predicted"), t) == covered(F.col("gold"), t))
-    return out.withColumn("correct", F.size(right)).withColumn("total", F.size("tokens")).drop("tokens")
+    """rows (text, predicted, gold) with `correct` and `total` tokens by redacted or not. Only the
+    numbers of the tokens that spans touch are listed, so a text of any length takes linear time."""
+    text = F.col("text")
+    count = lambda x: F.regexp_count(x, F.lit(r"(?U)\S+"))
+
+    def touched(s: Column) -> Column:
+        inside = (s.start > 0) & text.substr(s.start, F.lit(2)).rlike(r"(?U)^\S\S")
+        first = count(text.substr(F.lit(1), s.start)) + F.when(inside, 0).otherwise(1)
+        last = count(text.substr(F.lit(1), s.end))
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+    tokens = lambda spans: F.array_distinct(F.flatten(F.transform(spans, touched)))
+    out = rows.withColumn("total", count(text)).withColumn("__p", tokens(F.col("predicted"))).withColumn("__g", tokens(F.col("gold")))
+    wrong = F.size(F.array_except("__p", "__g")) + F.size(F.array_except("__g", "__p"))
+    return out.withColumn("correct", F.col("total") - wrong).drop("__p", "__g")
 
 
 def unmatched(rows: DataFrame, left: str, right: str) -> DataFrame:

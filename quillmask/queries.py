@@ -333,10 +333,20 @@ _TOKENS = (
     f"WITH p AS ({_P}), g AS ({_G}), t AS ({_TOKENS}) SELECT t.doc_id, CAST(count_if({_COVERED.format(s='p')} = {_COVERED.format(s='g')}) AS BIGINT) AS correct, count(*) AS total FROM t GROUP BY t.doc_id",
 )
 def token_accuracy(spark, sf_dir):
-    rows = evalkit.token_accuracy(_judged(spark, sf_dir).where(F.length("text") < 2000)).where("total > 0")
+    return _accuracy(_judged(spark, sf_dir).where(F.length("text") < 2000))
+
+
+def _accuracy(judged: DataFrame) -> DataFrame:
+    rows = evalkit.token_accuracy(judged).where("total > 0")
     return rows.select("doc_id", F.col("correct").cast("long").alias("correct"), F.col("total").cast("long").alias("total"))
 
 
+@query("whole_token_accuracy")
+def whole_token_accuracy(spark, sf_dir):
+    """token_accuracy over texts of every length."""
+    return _accuracy(_judged(spark, sf_dir))
+
+
 @query("leak_check", "SELECT CAST(NULL AS VARCHAR) AS label, CAST(NULL AS VARCHAR) AS original, CAST(0 AS BIGINT) AS occurrences WHERE false")
 def leak_check(spark, sf_dir):
     """No replaced value may be left in its document's output."""
