@@ -230,7 +230,22 @@ def vocab_counts(spark, sf_dir):
 
 @query("common_words", f"{_EN} SELECT word, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n FROM ({_VOCAB}) WHERE n >= 3 GROUP BY word")
 def common_words(spark, sf_dir):
-    return vocab_counts(spark, sf_dir).where(F.col("n") >= learn.COMMON).groupBy("word").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"))
+    return _common(vocab_counts(spark, sf_dir))
+
+
+def _common(words: DataFrame) -> DataFrame:
+    return words.where(F.col("n") >= learn.COMMON).groupBy("word").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"))
+
+
+@query("whole_vocab_counts")
+def whole_vocab_counts(spark, sf_dir):
+    """vocab_counts of all documents, in any language and with any letters."""
+    return learn.vocabulary(_docs(spark, sf_dir))
+
+
+@query("whole_common_words")
+def whole_common_words(spark, sf_dir):
+    return _common(whole_vocab_counts(spark, sf_dir))
 
 
 _LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS block_id FROM documents"
@@ -370,6 +385,13 @@ def reid_audit(spark, sf_dir):
     return evalkit.reidentification(terms, _ascii_docs(spark, sf_dir))
 
 
+@query("whole_reid_audit")
+def whole_reid_audit(spark, sf_dir):
+    """reid_audit of all documents, in any language and with any letters."""
+    terms = spark.createDataFrame(_TERMS, "severity string, anchor string, term string")
+    return evalkit.reidentification(terms, _docs(spark, sf_dir))
+
+
 @query(
     "samples_top4",
     f"""SELECT label, doc_id, start, substr(value, 1, 70) AS original FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY doc_id, start) AS r FROM ({_FLAT})) WHERE r <= 4""",

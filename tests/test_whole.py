@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 from quillmask import queries as core
 
@@ -32,3 +33,14 @@ def test_token_accuracy_of_long_texts(spark, tmp_path):
             expected[r.doc_id] = (sum((1 in x) == (2 in x) for x in seen), len(tokens))
             assert len(tokens) > 500 or [hit(r.predicted, t) for t in tokens] == [1 in x for x in seen]
     assert got == expected and any(c < n for c, n in got.values()) and max(len(t or "") for t in texts) > 40_000
+
+
+def test_words_and_terms_of_all_documents(spark, tmp_path):
+    texts = ["die license license", "the license’s café café café naïve", "License: élan vital ana@license.org http://the.example", None, "wort wort wort and the élan"]
+    sf = documents(spark, tmp_path, *texts)
+    plain = [re.sub(r"\S+@\S+|https?://\S+|www\.\S+", " ", t or "") for t in texts]
+    words = Counter((k, w) for k, t in enumerate(plain) for w in re.findall(r"\b[a-z][a-z'\-]{2,}\b", t))
+    assert {(r.doc_id, r.word): r.n for r in core.QUERIES["whole_vocab_counts"](spark, sf).collect()} == words
+    assert {tuple(r) for r in core.QUERIES["whole_common_words"](spark, sf).collect()} == {(w, 1, n) for (_, w), n in words.items() if n >= 3}
+    hits = {t: sum(len(re.findall(rf"\b{t}\b", x or "", re.I)) for x in texts) for t in ("the", "and the", "sh", "zzz zzz", "license")}
+    assert {r.term: r.hits for r in core.QUERIES["whole_reid_audit"](spark, sf).collect() if r.term} == hits and hits["license"] == 5
