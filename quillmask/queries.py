@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -184,6 +185,30 @@ def detection_audit(spark, sf_dir):
     return audit.select("doc_id", "label", "start", "original", "detector", "score", "find_in_output")
 
 
+def _whole(spark: SparkSession, sf_dir: str, policy: Policy | None = None) -> DataFrame:
+    """Documents, a block each, with the merged spans of all detectors that need no lexicon."""
+    return Engine(policy).detect(_blocks_of(_docs(spark, sf_dir)))
+
+
+def _once(detected: DataFrame) -> DataFrame:
+    """Kept on the executors' disks, for plans that read the spans more than once."""
+    return detected.persist(StorageLevel.DISK_ONLY)
+
+
+@query("whole_mapping_table")
+def whole_mapping_table(spark, sf_dir):
+    """mapping_table of every label."""
+    return Engine().mapping(_whole(spark, sf_dir))
+
+
+@query("whole_detection_audit")
+def whole_detection_audit(spark, sf_dir):
+    """detection_audit of every label."""
+    detected = _once(_whole(spark, sf_dir).drop("text"))
+    audit = Engine().audit(detected, Engine().mapping(detected))
+    return audit.select("doc_id", "label", "start", "original", "detector", "score", "find_in_output")
+
+
 _FAKE = (
     f"CASE label WHEN 'PHONE' THEN {O.surrogate_phone('value')} WHEN 'CREDIT_CARD' THEN {O.surrogate_card('value')} WHEN 'IP_ADDRESS' THEN {O.surrogate_ip('value')} "
     f"WHEN 'EMAIL' THEN {O.surrogate_email('value')} WHEN 'URL' THEN {O.surrogate_url('value')} END"

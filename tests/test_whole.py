@@ -44,3 +44,23 @@ def test_words_and_terms_of_all_documents(spark, tmp_path):
     assert {tuple(r) for r in core.QUERIES["whole_common_words"](spark, sf).collect()} == {(w, 1, n) for (_, w), n in words.items() if n >= 3}
     hits = {t: sum(len(re.findall(rf"\b{t}\b", x or "", re.I)) for x in texts) for t in ("the", "and the", "sh", "zzz zzz", "license")}
     assert {r.term: r.hits for r in core.QUERIES["whole_reid_audit"](spark, sf).collect() if r.term} == hits and hits["license"] == 5
+
+
+VALUES = {
+    "EMAIL": "ana@acme.org", "URL": "https://acme.org/x", "PHONE": "+91 98765 43210", "CREDIT_CARD": "4111 1111 1111 1111", "IP_ADDRESS": "10.0.12.7",
+    "SSN": "123-45-6789", "DOB": "14 March 1988",
+}
+LINES = ["Mail {EMAIL} now", "see {URL} there", "call {PHONE} now", "card {CREDIT_CARD} ok", "host {IP_ADDRESS} up", "SSN {SSN} here", "Date of birth: {DOB}."]
+
+
+def test_mapping_and_audit_have_every_label(spark, tmp_path):
+    text = "\n".join(LINES).format(**VALUES)
+    sf = documents(spark, tmp_path, text, "nothing here", text + "\n" + text)
+    mapping = core.QUERIES["whole_mapping_table"](spark, sf).collect()
+    assert {(r.doc_id, r.label, r.original) for r in mapping} == {(k, label, v) for k in (0, 2) for label, v in VALUES.items()}
+    new = {(r.doc_id, r.label): r.replacement for r in mapping}
+    assert all(v and v != VALUES[label] for (_, label), v in new.items()) and len(mapping) == len(new)
+    places = [(k, label, m.start(), v) for k, t in ((0, text), (2, text + "\n" + text)) for label, v in VALUES.items() for m in re.finditer(re.escape(v), t)]
+    audit = core.QUERIES["whole_detection_audit"](spark, sf).collect()
+    assert sorted((r.doc_id, r.label, r.start, r.original) for r in audit) == sorted(places)
+    assert all(r.find_in_output == new[r.doc_id, r.label][:60] for r in audit)
