@@ -83,7 +83,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     if a.detections:
         files.detections_csv(tables["audit"], decisions).write.mode("overwrite").option("header", True).csv(a.detections)
     total = tables["report"].agg(F.sum("blocks").alias("blocks"), F.sum("blocks_changed").alias("changed"), F.sum("detections").alias("detections")).first()
-    return {"documents": written, **total.asDict()}
+    refused = [r.doc_id for r in docx.refused(docx.found(spark, a.input), None).collect()]
+    return {"documents": written, "refused": sorted(refused), **total.asDict()}
 
 
 def _whole_or_spans():

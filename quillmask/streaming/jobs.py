@@ -35,11 +35,20 @@ def redact_stream(blocks: DataFrame, engine: Engine, out: str, checkpoint: str,
     return blocks.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def landing(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of the Word files that land in a folder, at most 25 MB each."""
+def _landed(spark: SparkSession, path: str) -> DataFrame:
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.docx").load(path)
-    return docx.blocks(docx.valid(files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("doc_id"), "content")))
+    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("doc_id"), "content")
+
+
+def landing(spark: SparkSession, path: str, max_bytes: int | None = docx.MAX_BYTES) -> DataFrame:
+    """Blocks of the Word files that land in a folder, at most 25 MB each; refusals() has the others."""
+    return docx.blocks(docx.valid(_landed(spark, path), max_bytes))
+
+
+def refusals(spark: SparkSession, path: str, max_bytes: int | None = docx.MAX_BYTES) -> DataFrame:
+    """(doc_id, reason) of the files that landing() doesn't take."""
+    return docx.refused(_landed(spark, path), max_bytes)
 
 
 def job_states(events: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:

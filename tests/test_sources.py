@@ -114,6 +114,25 @@ def test_command_line(spark, tmp_path):
     assert audit.columns[1:] == files.CSV_COLUMNS and audit.where("part = 'media'").first().replacement == "replaced"
 
 
+def test_large_packages_are_redacted_or_refused_with_a_reason(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    big = io.BytesIO(package(BODY))
+    with zipfile.ZipFile(big, "a") as z:
+        z.writestr("word/embeddings/big.bin", bytes(docx.MAX_BYTES + 1))
+    (source / "big.docx").write_bytes(big.getvalue())
+    (source / "small.docx").write_bytes(package(BODY))
+    (source / "no.docx").write_bytes(b"no")
+    args = cli.parser().parse_args(["--input", str(source), "-o", str(tmp_path / "out"), "--no-ocr"])
+    report = cli.run(spark, args)
+    assert report["documents"] == 2 and report["refused"] == ["no.docx"]
+    assert "Testwalla" not in " ".join(b[3] for b in docx.Package((tmp_path / "out" / "big.docx").read_bytes()).blocks())
+    stream = jobs.refusals(spark, str(source)).writeStream.format("memory").queryName("refusals").trigger(availableNow=True).start()
+    stream.awaitTermination(120)
+    reasons = {r.doc_id: r.reason for r in spark.table("refusals").collect()}
+    assert reasons == {"big.docx": f"larger than {docx.MAX_BYTES} bytes", "no.docx": "not a Word package"}
+
+
 def test_tags_and_flags(tmp_path):
     terms = tmp_path / "t.json"
     terms.write_text(json.dumps({"Acme": "ORG"}))
