@@ -66,13 +66,13 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     ).otherwise(F.lit(0))
 
 
-def _statistics(text: Column, host: Column) -> Column:
+def _statistics(text: Column, host: Column, max_line_words: int | None) -> Column:
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(C.WS_CHARS))) > 0)
 
     def line_rows(ls: Column) -> Column:
         one = lambda key, n: F.struct(*C.key_hash(key), n.alias("w"))
         rows = F.transform(ls, lambda x: one(C.line_key(x), F.size(C.words_of(x))))
-        return F.filter(rows, lambda r: r.w <= MAX_LINE_WORDS)
+        return rows if max_line_words is None else F.filter(rows, lambda r: r.w <= max_line_words)
 
     of_lines = C.let(
         lines,
@@ -97,16 +97,18 @@ def verdicts(
     min_docs: int = MIN_DOCS,
     min_share_pct: int = MIN_SHARE_PCT,
     min_left_pct: int = MIN_LEFT_PCT,
+    max_line_words: int | None = MAX_LINE_WORDS,
 ) -> DataFrame:
     """The rows of docs as struct `row` (without the text), with n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, n_frequent (words in frequent lines), base_failed, kept."""
+    n_dup_lines, n_repeat_words, n_frequent (words in frequent lines), base_failed, kept.
+    With max_line_words None lines of every length count."""
     C.bounded_memory(docs.sparkSession)
     base = docs.select(
         F.struct(*[docs[c] for c in docs.columns if c != text]).alias("row"),
         F.coalesce(docs[text], F.lit("")).alias("body"),
         (F.coalesce(F.concat(F.lit("="), docs[host].cast("string")), F.lit(""))).alias("host"),
     )
-    s = base.select("row", "host", _statistics(F.col("body"), F.col("host")).alias("s"))
+    s = base.select("row", "host", _statistics(F.col("body"), F.col("host"), max_line_words).alias("s"))
     stats = C.settle(
         s.select(
             "row",

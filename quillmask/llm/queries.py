@@ -79,7 +79,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_fr
 FROM s""",
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = quality_rules.verdicts(C.documents(spark, sf_dir).select("doc_id", "source", "text"))
+    return _quality(spark, sf_dir)
+
+
+@query("op10_whole_lines")
+def op10_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every length, and no share of a host's documents that lets its lines off."""
+    return _quality(spark, sf_dir, max_line_words=None, min_share_pct=0)
+
+
+def _quality(spark: SparkSession, sf_dir: str, **limits) -> DataFrame:
+    v = quality_rules.verdicts(C.documents(spark, sf_dir).select("doc_id", "source", "text"), **limits)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_frequent")
     return v.select("row.doc_id", *[F.col(n).cast("long").alias(n) for n in names], "base_failed", "kept")
 

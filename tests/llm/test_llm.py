@@ -282,6 +282,21 @@ def test_op10_boilerplate_is_rejected_and_passages_stay(spark):
     assert kept == set(range(20, 60))
 
 
+def test_op10_whole_lines_of_every_length_and_host(spark, tmp_path):
+    rng = random.Random(2)
+    own = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    notice, other = own(35), own(60)
+    texts = [notice] * 12 + [f"{notice}\n{own(40)}"] * 3 + [f"{other}\n{own(50)}" for _ in range(12)] + [own(40) for _ in range(400)]
+    rows = [(k, t, "hot") for k, t in enumerate(texts)] + [(1000 + k, notice, "cold") for k in range(9)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["op10_whole_lines"](spark, str(tmp_path)).collect()}
+    lines = Counter((h, x) for _, t, h in rows for x in set(t.split("\n")))
+    for k, t, h in rows:
+        n = sum(len(x.split()) for x in t.split("\n") if lines[h, x] >= 10)
+        assert got[k].n_frequent == n and got[k].kept == (100 * (len(t.split()) - n) >= 30 * len(t.split()))
+    assert {k for k in got if not got[k].kept} == set(range(12))
+
+
 # -- 5 ---------------------------------------------------------------------------------------------
 def test_op5_archives(spark):
     pages = [(1, "http://a/", "x" * 150), (2, None, "x" * 150), (3, "http://c/\r\nX: y", "short"), (4, "u", "short"), (5, "u", None), (6, "u", "é" * 60), (0, "u", "é" * 60), (6, "u", "é" * 60), (None, "u", "x" * 150)]
