@@ -76,13 +76,21 @@ _FLAT = f"SELECT doc_id, s.start AS start, s.stop AS stop, s.label AS label, s.v
 
 @query("detect_all_merged", _FLAT)
 def detect_all_merged(spark, sf_dir):
-    rows = _detected(spark, sf_dir).select("doc_id", F.explode("spans").alias("s"))
+    return _flat(_detected(spark, sf_dir))
+
+
+def _flat(detected: DataFrame) -> DataFrame:
+    rows = detected.select("doc_id", F.explode("spans").alias("s"))
     return rows.select("doc_id", "s.start", F.col("s.end").alias("stop"), "s.label", F.col("s.text").alias("value"), "s.source", "s.score")
 
 
 @query("detections_by_label", f"SELECT label, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM ({_FLAT}) GROUP BY label")
 def detections_by_label(spark, sf_dir):
-    return detect_all_merged(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    return _label_counts(detect_all_merged(spark, sf_dir))
+
+
+def _label_counts(flat: DataFrame) -> DataFrame:
+    return flat.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 _NORM = "lower(trim(regexp_replace(translate({x}, '’‘', ''''''), '\\s+', ' ', 'g'), ' .,:;–—-'))"
@@ -92,8 +100,7 @@ _TAGS = (
 )
 
 
-def _tagged(spark, sf_dir):
-    detected = _detected(spark, sf_dir)
+def _tagged(detected: DataFrame):
     s = detected.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
     t = surrogates.tags(s.select("doc_id", "label", "text", F.col("start").alias("at"))).toDF("d", "l", "n", "tag")
     on = (F.col("doc_id") == F.col("d")) & (F.col("label") == F.col("l")) & (normalise(F.col("text")) == F.col("n"))
@@ -102,7 +109,11 @@ def _tagged(spark, sf_dir):
 
 @query("tag_numbers", _TAGS + " SELECT doc_id, label, norm, tag FROM t")
 def tag_numbers(spark, sf_dir):
-    return _tagged(spark, sf_dir)[1].select("doc_id", "label", F.col("n").alias("norm"), "tag").distinct()
+    return _numbers(_detected(spark, sf_dir))
+
+
+def _numbers(detected: DataFrame) -> DataFrame:
+    return _tagged(detected)[1].select("doc_id", "label", F.col("n").alias("norm"), "tag").distinct()
 
 
 @query(
@@ -115,7 +126,11 @@ def tag_numbers(spark, sf_dir):
     FROM documents d LEFT JOIN e ON d.doc_id = e.doc_id""",
 )
 def redact_tag(spark, sf_dir):
-    detected, tagged = _tagged(spark, sf_dir)
+    return _with_tags(_detected(spark, sf_dir))
+
+
+def _with_tags(detected: DataFrame) -> DataFrame:
+    detected, tagged = _tagged(detected)
     edits = tagged.groupBy(F.col("doc_id").alias("d")).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("tag").alias("replacement")))).alias("edits"))
     out = detected.join(edits, F.col("doc_id") == F.col("d"), "left")
     none = F.array().cast("array<struct<start:int,end:int,replacement:string>>")
@@ -390,11 +405,46 @@ def whole_token_accuracy(spark, sf_dir):
 @query("leak_check", "SELECT CAST(NULL AS VARCHAR) AS label, CAST(NULL AS VARCHAR) AS original, CAST(0 AS BIGINT) AS occurrences WHERE false")
 def leak_check(spark, sf_dir):
     """No replaced value may be left in its document's output."""
-    detected = _blocks_of(_detected(spark, sf_dir))
+    return _leaks(_blocks_of(_detected(spark, sf_dir)))
+
+
+def _leaks(detected: DataFrame) -> DataFrame:
     mapping = Engine().mapping(detected)
     return evalkit.leaks(mapping, Engine().redact(detected, mapping)).select("label", "original", "occurrences")
 
 
+# -- the same over the spans of all detectors, which SQL can't follow ------------------------------------------------
+@query("whole_detect_all_merged")
+def whole_detect_all_merged(spark, sf_dir):
+    return _flat(_whole(spark, sf_dir))
+
+
+@query("whole_detections_by_label")
+def whole_detections_by_label(spark, sf_dir):
+    return _label_counts(whole_detect_all_merged(spark, sf_dir))
+
+
+@query("whole_tag_numbers")
+def whole_tag_numbers(spark, sf_dir):
+    return _numbers(_once(_whole(spark, sf_dir).drop("text")))
+
+
+@query("whole_redact_tag")
+def whole_redact_tag(spark, sf_dir):
+    return _with_tags(_once(_whole(spark, sf_dir)))
+
+
+@query("whole_redact_fake")
+def whole_redact_fake(spark, sf_dir):
+    detected = _once(_whole(spark, sf_dir))
+    return Engine().redact(detected, Engine().mapping(detected)).select("doc_id", "redacted")
+
+
+@query("whole_leak_check")
+def whole_leak_check(spark, sf_dir):
+    return _leaks(_once(_whole(spark, sf_dir)))
+
+
 _TERMS = [("CRITICAL", "a", "the"), ("CRITICAL", "a", "and the"), ("HIGH", "b", "sh"), ("HIGH", "c", "zzz zzz"), ("LOW", "d", "license")]
 
 

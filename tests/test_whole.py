@@ -64,3 +64,17 @@ def test_mapping_and_audit_have_every_label(spark, tmp_path):
     audit = core.QUERIES["whole_detection_audit"](spark, sf).collect()
     assert sorted((r.doc_id, r.label, r.start, r.original) for r in audit) == sorted(places)
     assert all(r.find_in_output == new[r.doc_id, r.label][:60] for r in audit)
+
+
+def test_nothing_that_a_detector_knows_stays(spark, tmp_path):
+    text = "\n".join(LINES).format(**VALUES)
+    sf = documents(spark, tmp_path, text, "nothing here", text)
+    run = lambda name: core.QUERIES[name](spark, sf).collect()
+    tagged = "\n".join(LINES).format(**{k: f"[{k}_1]" for k in VALUES})
+    assert {r.doc_id: r.redacted for r in run("whole_redact_tag")} == {0: tagged, 1: "nothing here", 2: tagged}
+    assert {(r.doc_id, r.tag) for r in run("whole_tag_numbers")} == {(k, f"[{v}_1]") for k in (0, 2) for v in VALUES}
+    assert {(r.doc_id, r.label, r.value) for r in run("whole_detect_all_merged")} == {(k, label, v) for k in (0, 2) for label, v in VALUES.items()}
+    assert {(r.label, r.n, r.n_docs) for r in run("whole_detections_by_label")} == {(v, 2, 2) for v in VALUES}
+    fake = {r.doc_id: r.redacted for r in run("whole_redact_fake")}
+    assert fake[1] == "nothing here" and not any(v in fake[k] for k in (0, 2) for v in VALUES.values())
+    assert run("whole_leak_check") == []
