@@ -7,6 +7,8 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,23 +17,26 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]+"
 WS_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 
-#: A side of a join is broadcast only after its rows were counted and are at most this
-#: many (each a few dozen bytes, so 10 MB or so in memory).
+#: A side of a join is broadcast only after it was measured: at most so many rows, and so many bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 #: Bytes of rows that go to a Python worker at once, at most.
 ARROW_BYTES = 8 << 20
 
 _own_dir: str | None = None
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Only where that is
-    unset (tests, a single machine) a folder of our own is made."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only where that is unset and
+    everything runs on this machine (tests) a folder of our own is made."""
     global _own_dir
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="quillmask-")
     if spark.sparkContext.getCheckpointDir() is None:
@@ -42,12 +47,27 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder, deleted when the session's JVM ends."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    for paths in _scopes:
+        paths.append(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.deleteOnExit(jpath)
     return path
 
 
+@contextmanager
+def passing(spark: SparkSession, keep: Callable[[], DataFrame | None] = lambda: None):
+    """Scratch made inside is deleted at the end, but for the settled table that keep() names."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        kept = getattr(keep(), "_settled_at", None)
+        for path in _scopes.pop():
+            if path != kept:
+                discard(spark, path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
@@ -94,9 +114,19 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` (already settled) with a broadcast hint if it has at most `limit` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def numbered(df: DataFrame, tag: str) -> DataFrame:
+    """(rid, doc): the rows of df as structs, each with a number, settled. A number that a scan gives
+    holds for that scan alone (how files are dealt to tasks depends on the cores connected), so
+    whoever joins by it must read number and row from here."""
+    row = F.struct(*[df[c] for c in df.columns]).alias("doc")
+    return settle(df.select(F.monotonically_increasing_id().alias("rid"), row), tag)
+
+
+def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` (already settled) with a broadcast hint if it has at most so many rows and bytes."""
+    text = [F.coalesce(F.sum(F.octet_length(F.col(c))), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    n, *texts = df.limit(rows + 1).agg(F.count(F.lit(1)), *text).first()
+    return F.broadcast(df) if n <= rows and 8 * n * len(df.columns) + sum(texts) <= size else df
 
 
 def let(value: Column, body) -> Column:

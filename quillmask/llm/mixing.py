@@ -29,7 +29,8 @@ from . import common as C
 
 CAP = 3
 WEIGHTS = (1, 2, 3)
-MAX_STEPS = 60
+MAX_STEPS = 120
+FAR = 1e12
 BINS = 256
 
 
@@ -70,20 +71,21 @@ def _exact(x: Column) -> Column:
     return F.sum(x.cast("decimal(38,10)")).cast("double")
 
 
-def solve(classes: DataFrame, goal: DataFrame, cap: int = CAP) -> DataFrame:
+def solve(classes: DataFrame, goal: DataFrame, cap: int = CAP, max_steps: int = MAX_STEPS) -> DataFrame:
     """(source, lam, scale) that meets goal's target in each source, by Newton steps on
-    classes (source, size, n). A lambda of null stands for the cap."""
+    classes (source, size, n). A lambda of null stands for the cap. Raises if max_steps steps,
+    of which bisection alone needs fewer, don't meet all targets."""
     same = F.col("source").eqNullSafe(F.col("s"))
     state = C.settle(
         classes.groupBy(F.col("source").alias("s"))
         .agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale"), F.sum(F.col("size") * F.col("n")).alias("whole"))
         .join(goal.select("source", "target"), same)
         .where((F.col("whole") > 0) & (F.col("target") < cap * F.col("whole") * (1 - 1e-12)))
-        .select("s", "scale", "target", F.lit(0.0).alias("lam"), F.lit(-1e9).alias("low"), F.lit(1e9).alias("high"), F.lit(False).alias("met")),
+        .select("s", "scale", "target", F.lit(0.0).alias("lam"), F.lit(-FAR).alias("low"), F.lit(FAR).alias("high"), F.lit(False).alias("met")),
         "mix-state",
     )
     z = F.col("size") / F.col("scale")
-    for _ in range(MAX_STEPS):
+    for _ in range(max_steps):
         r = _rate(F.col("lam"), z, cap)
         mass = F.col("n") * F.col("size") * r
         keep = ["s", "scale", "target", "lam", "low", "high"]
@@ -95,7 +97,9 @@ def solve(classes: DataFrame, goal: DataFrame, cap: int = CAP) -> DataFrame:
         over = F.col("got") > F.col("target")
         low, high = F.when(over, F.col("low")).otherwise(F.col("lam")), F.when(over, F.col("lam")).otherwise(F.col("high"))
         step = F.col("lam") - (F.col("got") - F.col("target")) / F.when(F.col("slope") > 0, F.col("slope"))
-        mid = (F.greatest(F.col("nlow"), F.lit(-700.0)) + F.least(F.col("nhigh"), F.lit(700.0))) / 2
+        # a side that has no bound yet is searched by doubling
+        mid = F.when(F.col("nhigh") >= FAR, F.greatest(F.col("nlow") * 2, F.lit(1.0))).when(F.col("nlow") <= -FAR, F.least(F.col("nhigh") * 2, F.lit(-1.0)))
+        mid = mid.otherwise((F.col("nlow") + F.col("nhigh")) / 2)
         met = F.abs(F.col("got") - F.col("target")) <= F.greatest(F.lit(1e-3), F.col("target") * 1e-9)
         inside = (F.col("step") > F.col("nlow")) & (F.col("step") < F.col("nhigh"))
         state = C.settle(
@@ -108,6 +112,8 @@ def solve(classes: DataFrame, goal: DataFrame, cap: int = CAP) -> DataFrame:
         )
         if state.where(~F.col("met")).isEmpty():
             break
+    else:
+        raise RuntimeError(f"no rates meet the targets after {max_steps} steps")
     return state.select(F.col("s").alias("source"), "lam", "scale")
 
 
@@ -151,12 +157,12 @@ def class_copies(classes: DataFrame, goal: DataFrame, cap: int = CAP) -> DataFra
     return C.settle(joined.select("source", "size", "n", (F.col("copies") + F.coalesce("extra", F.lit(0))).cast("long").alias("copies")), "mix-copies")
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights=WEIGHTS, cap: int = CAP) -> DataFrame:
-    """For each row of docs: rid (its place in the scan), doc_id, source, size, source_size,
-    target, copies."""
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights=WEIGHTS, cap: int = CAP, rid: str | None = None) -> DataFrame:
+    """For each row of docs: rid (the column of that name, else a fresh number), doc_id, source,
+    size, source_size, target, copies."""
     C.bounded_memory(docs.sparkSession)
     sized = docs.select(
-        F.monotonically_increasing_id().alias("rid"),
+        (F.monotonically_increasing_id() if rid is None else docs[rid]).alias("rid"),
         docs[key].alias("key"),
         docs[source].cast("string").alias("source"),
         F.size(C.words_of(docs[text])).cast("long").alias("size"),
@@ -188,9 +194,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights=WEIGHTS, cap: int = CAP) -> DataFrame:
-    """docs with each row as often as the mix takes it. docs must be a table that scans in
-    the same order again (a file scan)."""
-    copies = mix(docs, text, source, key, weights, cap).where(F.col("copies") > 0).select("rid", "copies")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("rid"))
+    """docs with each row as often as the mix takes it."""
+    rows = C.numbered(docs, "mix-rows")
+    parts = rows.select("rid", *[F.col("doc").getField(c).alias(n) for c, n in ((text, "text"), (source, "source"), (key, "key"))])
+    copies = mix(parts, "text", "source", "key", weights, cap, "rid").where(F.col("copies") > 0).select("rid", "copies")
     taken = rows.join(copies, "rid")
     return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

@@ -128,12 +128,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n_
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", n_words: int = WORDS) -> DataFrame:
-    """docs with one document of each component: the one of least `key`, of equal ones
-    the first in the scan. docs must scan in the same order again (a file scan)."""
-    rid = F.monotonically_increasing_id()
-    marked = near_duplicates(docs.select(rid.alias("rid"), docs[key].alias("key"), docs[text].alias("body")), "body", "key", n_words)
+    """docs with one document of each component: the one of least `key` (null comes last), of
+    equal ones any, the others go."""
+    rows = C.numbered(docs, "simhash-rows")
+    parts = rows.select("rid", F.col("doc").getField(key).alias("key"), F.col("doc").getField(text).alias("body"))
+    marked = near_duplicates(parts, "body", "key", n_words)
     first = F.min(F.struct(F.col("row.key").isNull(), F.col("row.key"), F.col("row.rid")))
     # the least of a component by id, without gathering it: combined before the shuffle
     best = marked.groupBy("root").agg(first.alias("x")).select(F.col("x.rid").alias("keep"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), rid.alias("rid"))
     return rows.join(best, F.col("rid") == F.col("keep"), "left_semi").select("doc.*")

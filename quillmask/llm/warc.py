@@ -155,14 +155,17 @@ def _write(folder: str):
 def marked(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
     """(page_id, url, payload, digest, refers_to, revisit) of all pages."""
     payload = F.encode(F.coalesce(pages[html], F.lit("")), "UTF-8")
-    rows = pages.select(pages[key].cast("long").alias("page_id"), pages[url].cast("string").alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("rid"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    rows = pages.select(
+        F.monotonically_increasing_id().alias("rid"), pages[key].cast("long").alias("page_id"), pages[url].cast("string").alias("url"), payload.alias("payload")
+    )
+    # numbers and payloads are read from one table: a second scan of pages may number its rows otherwise
+    rows = C.settle(rows.select("*", F.sha2("payload", 256).alias("digest"), F.length("payload").alias("size")), "warc-pages")
     rank = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "rid")
-    long = rows.where(F.length("payload") >= min_bytes)
+    long = rows.where(F.col("size") >= min_bytes).select("digest", "page_id", "rid")
     copied = C.settle(
         long.groupBy(F.col("digest").alias("d")).agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1").select("d", "first"), "warc-copied"
     )
-    out = rows.join(C.checked_broadcast(copied), (F.col("digest") == F.col("d")) & (F.length("payload") >= min_bytes), "left")
+    out = rows.join(C.checked_broadcast(copied), (F.col("digest") == F.col("d")) & (F.col("size") >= min_bytes), "left")
     revisit = F.coalesce(F.col("first.rid") != F.col("rid"), F.lit(False))
     return out.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("first.page_id")).alias("refers_to"), revisit.alias("revisit"))
 
