@@ -1,17 +1,20 @@
 """Quality rules: base statistics of each text and cross-document line frequency.
 
 Lines are normalised and hashed, the distinct documents of each line are counted per
-host, lines above the limits are taken out of the count of a document's words, and a
-document that is depleted by that is rejected, as is one that fails the base rules.
+host, lines above the limit are removed, and a document that is depleted by that is
+rejected, as is one that fails the base rules. Documents of one host with equal texts
+are one document here: a text is no boilerplate for having been copied as a whole, which
+is for the deduplication operators. Lines of every length and hosts of every size count.
 
 Only DataFrame functions run. The texts are read once: statistics and line hashes are
 settled in the shared folder (a few per cent of the input), and line counts, the
 frequent lines and the hits are worked out from those. Counts are combined before the
-shuffle, so a line or host that holds a third of all rows costs one row a task.
+shuffle, so a line, text or host that holds a third of all rows costs one row a task.
 
 Defined cases: a null text has no words and fails the base rules; a null host is a host
-of its own; every row is a document of its own, equal ids or texts included; an empty
-table gives an empty result; further columns pass through untouched.
+of its own; every row gets a verdict of its own, equal ids or texts included; lines
+without words are never frequent; a very long text is one row in one task; an empty table
+gives an empty result; further columns, whatever their names, pass through untouched.
 """
 
 from __future__ import annotations
@@ -26,12 +29,8 @@ WINDOW = 8
 MIN_WORDS = 20
 #: 100 * n_repeat_words above this share of the words fails.
 MAX_REPEAT_PCT = 30
-#: A line is over the limits in a host if at least so many of its documents, and at least
-#: so many per cent of them, have it.
+#: A line is over the limit in a host if at least so many of its distinct documents have it.
 MIN_DOCS = 10
-MIN_SHARE_PCT = 5
-#: Longer lines are passages, which the deduplication operators treat, not boilerplate.
-MAX_LINE_WORDS = 20
 #: A document is depleted if less than this percentage of its words is left.
 MIN_LEFT_PCT = 30
 
@@ -66,18 +65,17 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     ).otherwise(F.lit(0))
 
 
-def _statistics(text: Column, host: Column, max_line_words: int | None) -> Column:
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(C.WS_CHARS))) > 0)
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
-    def line_rows(ls: Column) -> Column:
-        one = lambda key, n: F.struct(*C.key_hash(key), n.alias("w"))
-        rows = F.transform(ls, lambda x: one(C.line_key(x), F.size(C.words_of(x))))
-        return rows if max_line_words is None else F.filter(rows, lambda r: r.w <= max_line_words)
 
-    of_lines = C.let(
-        lines,
-        lambda ls: F.struct((F.size(ls) - F.size(F.array_distinct(ls))).alias("n_dup_lines"), line_rows(ls).alias("lines")),
-    )
+def _statistics(text: Column) -> Column:
+    lines = F.filter(_lines(text), lambda x: F.length(F.btrim(x, F.lit(C.WS_CHARS))) > 0)
+
+    def rows(ls: Column) -> Column:
+        return F.transform(ls, lambda x: F.struct(*C.key_hash(C.line_key(x)), F.size(C.words_of(x)).alias("w")))
+
+    of_lines = C.let(lines, lambda ls: F.struct((F.size(ls) - F.size(F.array_distinct(ls))).alias("n_dup_lines"), rows(ls).alias("lines")))
     of_words = C.let(
         C.words_of(text),
         lambda ws: F.struct(F.size(ws).alias("n_words"), repeated_words(ws).alias("n_repeat_words")),
@@ -87,87 +85,81 @@ def _statistics(text: Column, host: Column, max_line_words: int | None) -> Colum
         of_lines.alias("of_lines"),
         F.length(F.translate(text, C.WS_CHARS, "")).alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).alias("n_symbols"),
+        F.xxhash64(text).alias("t1"),
+        F.xxhash64(F.lit(7919), text).alias("t2"),
     )
 
 
-def verdicts(
-    docs: DataFrame,
-    text: str = "text",
-    host: str = "source",
-    min_docs: int = MIN_DOCS,
-    min_share_pct: int = MIN_SHARE_PCT,
-    min_left_pct: int = MIN_LEFT_PCT,
-    max_line_words: int | None = MAX_LINE_WORDS,
-) -> DataFrame:
-    """The rows of docs as struct `row` (without the text), with n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, n_frequent (words in frequent lines), base_failed, kept.
-    With max_line_words None lines of every length count."""
+LONGS = ("n_words", "n_repeat_words", "word_chars", "n_symbols", "n_dup_lines")
+
+
+def _settled_statistics(docs: DataFrame, text: str, host: str) -> DataFrame:
     C.bounded_memory(docs.sparkSession)
     base = docs.select(
         F.struct(*[docs[c] for c in docs.columns if c != text]).alias("row"),
         F.coalesce(docs[text], F.lit("")).alias("body"),
         (F.coalesce(F.concat(F.lit("="), docs[host].cast("string")), F.lit(""))).alias("host"),
     )
-    s = base.select("row", "host", _statistics(F.col("body"), F.col("host"), max_line_words).alias("s"))
-    stats = C.settle(
+    s = base.select("row", "host", _statistics(F.col("body")).alias("s"))
+    at = {"n_words": "of_words.", "n_repeat_words": "of_words.", "n_dup_lines": "of_lines."}
+    return C.settle(
         s.select(
             "row",
             "host",
             F.monotonically_increasing_id().alias("rid"),
-            *[F.col(f"s.of_words.{c}").cast("long").alias(c) for c in ("n_words", "n_repeat_words")],
-            *[F.col(f"s.{c}").cast("long").alias(c) for c in ("word_chars", "n_symbols")],
-            F.col("s.of_lines.n_dup_lines").cast("long").alias("n_dup_lines"),
+            *[F.col(f"s.{at.get(c, '')}{c}").cast("long").alias(c) for c in LONGS],
             F.col("s.of_lines.lines").alias("lines"),
+            "s.t1",
+            "s.t2",
         ),
         "quality-stats",
     )
-    hosts = stats.groupBy("host").agg(F.count("*").alias("n_host"))
+
+
+def _hits(stats: DataFrame, min_docs: int) -> DataFrame:
+    """(hit_rid, n_hit, hit_keys): words in frequent lines, and these lines' keys."""
+    distinct = stats.groupBy("host", "t1", "t2").agg(F.min("rid").alias("one_rid")).select("one_rid")
     keys = F.array_distinct(F.transform("lines", lambda r: F.struct(r.h1.alias("h1"), r.h2.alias("h2"))))
-    counts = (
-        stats.select("host", F.explode(keys).alias("k"))
-        .groupBy("host", "k.h1", "k.h2")
+    one_each = stats.select("rid", "host", keys.alias("keys")).join(distinct, F.col("rid") == F.col("one_rid"), "left_semi")
+    frequent = C.settle(
+        one_each.select("host", F.explode("keys").alias("k"))
+        .groupBy(F.col("host").alias("line_host"), "k.h1", "k.h2")
         .agg(F.count("*").alias("n_docs"))
         .where(F.col("n_docs") >= min_docs)
-        .withColumnRenamed("host", "line_host")
-    )
-    frequent = C.settle(
-        counts.join(hosts, F.col("line_host") == F.col("host"))
-        .where(F.col("n_docs") * 100 >= F.col("n_host") * min_share_pct)
-        .select("line_host", "h1", "h2"),
+        .drop("n_docs"),
         "quality-lines",
     )
     lines = stats.select("rid", "host", F.explode("lines").alias("r")).select("rid", "host", "r.h1", "r.h2", "r.w")
     f = C.checked_broadcast(frequent)
-    hits = (
+    return (
         lines.join(f, (lines.h1 == f.h1) & (lines.h2 == f.h2) & (lines.host == f.line_host))
-        .groupBy("rid")
-        .agg(F.sum("w").alias("n_hit"))
-        .withColumnRenamed("rid", "hit_rid")
+        .groupBy(F.col("rid").alias("hit_rid"))
+        .agg(F.sum("w").alias("n_hit"), F.collect_set(F.struct(lines.h1, lines.h2)).alias("hit_keys"))
     )
+
+
+def _judged(docs: DataFrame, text: str, host: str, min_docs: int, min_left_pct: int) -> DataFrame:
+    stats = _settled_statistics(docs, text, host)
     n, out = F.col("n_words"), F.coalesce("n_hit", F.lit(0))
     failed = (n < MIN_WORDS) | (F.col("n_repeat_words") * 100 > n * MAX_REPEAT_PCT)
-    return (
-        stats.drop("lines")
-        .join(hits, F.col("rid") == F.col("hit_rid"), "left")
-        .select(
-            "row",
-            "rid",
-            "n_words",
-            "word_chars",
-            "n_symbols",
-            "n_dup_lines",
-            "n_repeat_words",
-            out.alias("n_frequent"),
-            failed.alias("base_failed"),
-            (~failed & ((n - out) * 100 >= n * min_left_pct)).alias("kept"),
-        )
-    )
+    kept = (~failed & ((n - out) * 100 >= n * min_left_pct)).alias("kept")
+    judged = stats.drop("lines").join(_hits(stats, min_docs), F.col("rid") == F.col("hit_rid"), "left")
+    return judged.select("row", "rid", *LONGS, out.alias("n_frequent"), failed.alias("base_failed"), kept, "hit_keys")
 
 
-def keep_good(docs: DataFrame, text: str = "text", host: str = "source", **limits) -> DataFrame:
-    """The rows of docs that the rules keep, with docs' columns."""
-    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[text].alias("__text"), docs[host].alias("__host"))
-    v = verdicts(marked.select(F.monotonically_increasing_id().alias("__id"), "__text", "__host"), "__text", "__host", **limits)
-    good = v.where("kept").select(F.col("row.__id").alias("good"))
-    kept = marked.withColumn("__id", F.monotonically_increasing_id()).join(good, F.col("__id") == F.col("good"), "left_semi")
-    return kept.select("doc.*")
+def verdicts(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_left_pct: int = MIN_LEFT_PCT) -> DataFrame:
+    """The rows of docs as struct `row` (without the text), with n_words, word_chars, n_symbols,
+    n_dup_lines, n_repeat_words, n_frequent (words in frequent lines), base_failed, kept."""
+    return _judged(docs, text, host, min_docs, min_left_pct).drop("hit_keys")
+
+
+def keep_good(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_left_pct: int = MIN_LEFT_PCT) -> DataFrame:
+    """The rows of docs that the rules keep, with docs' columns and without the lines over the limit."""
+    rows = C.numbered(docs, "quality-rows")
+    parts = rows.select("rid", F.col("doc").getField(text).alias("text"), F.col("doc").getField(host).alias("host"))
+    good = _judged(parts, "text", "host", min_docs, min_left_pct).where("kept").select(F.col("row.rid").alias("good"), "hit_keys")
+    kept = rows.join(good, F.col("rid") == F.col("good"))
+    body, hit = F.col("doc").getField(text), F.col("hit_keys")
+    left = F.filter(_lines(body), lambda x: ~F.array_contains(hit, F.struct(*C.key_hash(C.line_key(x)))))
+    cut = F.when(hit.isNull(), body).otherwise(F.array_join(left, "\n"))
+    return kept.select(*[(cut if c == text else F.col("doc").getField(c)).alias(c) for c in docs.columns])

@@ -64,10 +64,8 @@ dupwin AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g
 rep AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS j FROM dupwin) GROUP BY rid),
 l AS (SELECT rid, host, translate(trim(x, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key,
              len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS n FROM (SELECT rid, host, unnest(ls) AS x FROM w)),
-hosts AS (SELECT host, count(*) AS n FROM d GROUP BY host),
-hot AS (SELECT c.host, c.key FROM (SELECT host, key, count(DISTINCT rid) AS n FROM l WHERE n <= 20 GROUP BY host, key) c
-        JOIN hosts h ON c.host IS NOT DISTINCT FROM h.host WHERE c.n >= 10 AND c.n * 100 >= 5 * h.n),
-hit AS (SELECT l.rid, sum(l.n) AS n FROM l JOIN hot ON l.key = hot.key AND l.host IS NOT DISTINCT FROM hot.host WHERE l.n <= 20 GROUP BY l.rid),
+hot AS (SELECT host, key FROM (SELECT l.host, l.key, d.text FROM l JOIN d ON l.rid = d.rid) GROUP BY host, key HAVING count(DISTINCT text) >= 10),
+hit AS (SELECT l.rid, sum(l.n) AS n FROM l JOIN hot ON l.key = hot.key AND l.host IS NOT DISTINCT FROM hot.host GROUP BY l.rid),
 s AS (SELECT w.rid, w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(length(array_to_string(words, '')), 0) AS BIGINT) AS word_chars,
              CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
              CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
@@ -79,17 +77,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_fr
 FROM s""",
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _quality(spark, sf_dir)
-
-
-@query("op10_whole_lines")
-def op10_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every length, and no share of a host's documents that lets its lines off."""
-    return _quality(spark, sf_dir, max_line_words=None, min_share_pct=0)
-
-
-def _quality(spark: SparkSession, sf_dir: str, **limits) -> DataFrame:
-    v = quality_rules.verdicts(C.documents(spark, sf_dir).select("doc_id", "source", "text"), **limits)
+    v = quality_rules.verdicts(C.documents(spark, sf_dir).select("doc_id", "source", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_frequent")
     return v.select("row.doc_id", *[F.col(n).cast("long").alias(n) for n in names], "base_failed", "kept")
 
