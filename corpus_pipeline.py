@@ -21,8 +21,8 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality_rules.keep_good(docs)
+    """Documents that the quality rules reject go, and lines over the limit go from the others."""
+    return _with_length(quality_rules.keep_good(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,12 @@ STAGES = [("quality_rules", quality), ("line_dedup", lines), ("simhash_near_dedu
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
+    docs, before = common.documents(spark, sf_dir), None
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = common.settle(out, f"pipeline-{k}-{name}") if k + 1 < len(STAGES) else out
-    return docs
+        if k + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        with common.passing(spark, lambda: docs):
+            docs = common.settle(stage(spark, docs, sf_dir), f"pipeline-{k}-{name}")
+        if before is not None:
+            common.forget(before)
+        before = docs
