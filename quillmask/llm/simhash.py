@@ -6,17 +6,21 @@ segments that together differ in at most two bits, one differs in at most one. E
 segment is indexed under its 32 variants with one bit left out; equal variants are
 joined and verified on the whole fingerprints.
 
-Only distinct fingerprints are indexed, so a group of copies costs one. A variant that
-two fingerprints share (the common case) gives its pair from min and max of one grouped
-aggregation, without gathering the bucket. Fingerprints of fuller buckets go a way that
-emits no pairs at all and is exact for any size of bucket: two fingerprints differ in at
-most two bits if and only if some 64-bit string differs in at most one bit from both, so
-each is listed under itself and its 64 one-bit neighbours, and every list is linked to
-its least member.
+Only distinct fingerprints are indexed, so a group of copies costs one. A bucket of two
+gives its pair from min and max of one grouped aggregation, without gathering it. Fuller
+buckets, of which a large corpus has many by chance, are split by further bits: two of
+their members differ in at most two bits of the other segment, so they agree on one of its
+thirds, and members are bucketed again by each third. What is still in buckets of more than
+two then shares 41 bits or more and is truly crowded: these few fingerprints are listed
+under all their variants with two bits left out, where a bucket holds at most four, all of
+them links. So every link is found whatever the size of the buckets, and no bucket is
+gathered or paired up.
 
 Defined cases: a text without words (null included) has fingerprint zero and is linked
 like any other; every row is a document of its own, equal ids included; a null id never
-names a component unless all its ids are null; an empty table gives an empty result.
+names a component unless all its ids are null; very long texts are hashed in one task,
+their hashes counted in blocks; further columns, whatever their names, are kept in `row`;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -91,25 +95,48 @@ def _variants(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.array(*[key(s, b) for s in (0, 1) for b in range(32)])).alias("key"), "fp")
 
 
+def _ends(rows: DataFrame, *keys: str) -> DataFrame:
+    """The least and largest fingerprint of each bucket that has several, and how many it has."""
+    return rows.groupBy(*keys).agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
+
+
+def _thirds(rows: DataFrame) -> DataFrame:
+    """(key, part, fp): members of full buckets by the thirds of the segment that `key` doesn't show."""
+    upper = F.shiftrightunsigned("key", 37) == 1  # the segment that the key shows
+    other = F.when(upper, F.col("fp")).otherwise(F.shiftrightunsigned("fp", 32))
+    parts = [other.bitwiseAND(F.lit(((1 << n) - 1) << at)).bitwiseOR(F.lit(k << 32)) for k, (at, n) in enumerate(((0, 11), (11, 11), (22, 10)))]
+    return rows.select("key", F.explode(F.array(*parts)).alias("part"), "fp")
+
+
+def _cliques(fps: DataFrame) -> DataFrame:
+    """Edges from the least member of each bucket of variants with two bits left out."""
+    masks = [~(1 << i | 1 << j) for i in range(64) for j in range(i)]
+    signed = F.array(*[F.lit(((m + (1 << 63)) % (1 << 64)) - (1 << 63)) for m in masks])
+    rows = fps.select("fp", F.explode(signed).alias("mask"))
+    members = F.array_sort(F.collect_set("fp"))  # at most four agree in 62 bits
+    lists = rows.groupBy("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("rest")).agg(members.alias("m")).where(F.size("m") > 1)
+    return lists.select(F.col("m")[0].alias("a"), F.explode(F.slice("m", 2, 3)).alias("b"))
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints `fp`, with the same components as all
     pairs at two or fewer differing bits."""
-    # a fingerprint becomes 64 rows: spread the few there are first, so that no task counts many
-    width = C.parallel_width(fps.sparkSession)
+    spark = fps.sparkSession
+    # a fingerprint becomes many rows: spread the few there are first, so that no task makes most of them
+    width = C.parallel_width(spark)
+    near = (F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
     rows = _variants(fps.repartition(width, "fp"))
-    buckets = C.settle(
-        rows.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("n > 1"), "simhash-buckets"
-    )
-    C.free_shuffles(fps.sparkSession)
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    pairs = buckets.where((F.col("n") == 2) & near).select("a", "b").distinct()
-    full = C.checked_broadcast(buckets.where("n > 2").select("key"), 1_000_000)
-    crowded = C.settle(rows.join(full, "key", "left_semi").select("fp").distinct(), "simhash-crowded")
-    middles = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for b in range(64)])
-    near_rows = crowded.repartition(width, "fp").select("fp", F.explode(middles).alias("m"))
-    stars = near_rows.join(near_rows.groupBy("m").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1"), "m")
-    stars = stars.where("fp != a").select("a", F.col("fp").alias("b")).distinct()
-    return pairs.unionByName(stars).distinct()
+    buckets = C.settle(_ends(rows, "key"), "simhash-buckets")
+    C.free_shuffles(spark)
+    full = C.checked_broadcast(buckets.where("n > 2").select("key"))
+    inside = C.settle(rows.join(full, "key", "left_semi"), "simhash-inside")
+    thirds = _thirds(inside)
+    split = C.settle(_ends(thirds, "key", "part"), "simhash-split")
+    C.free_shuffles(spark)
+    still = C.checked_broadcast(split.where("n > 2").select("key", "part"))
+    crowded = C.settle(thirds.join(still, ["key", "part"], "left_semi").select("fp").distinct(), "simhash-crowded")
+    pairs = buckets.where(near).select("a", "b").unionByName(split.where(near).select("a", "b"))
+    return pairs.unionByName(_cliques(crowded.repartition(width, "fp"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n_words: int = WORDS) -> DataFrame:
