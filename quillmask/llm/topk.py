@@ -1,18 +1,23 @@
 """Exact top-k by inner product: exhaustive term-at-a-time accumulation.
 
-Components become integers floor(SCALE * x). Candidates are packed into blocks of BLOCK
-vectors, with a posting list (rows and weights that aren't zero) for each component;
-queries are dealt into blocks by a hash. Every block of queries meets every block of
-candidates: for one component after the other, the queries' weights are scattered over
-the component's postings into dense score arrays, the best k of the block are selected by
-partition, and the blocks' winners are merged by a ranked window that keeps k rows a query
-before its shuffle already. A block pair is a bounded piece of work of its own; blocks of
-queries are broadcast only if there is one, and it is small by construction, else joined.
+Components become integers floor(SCALE * x). Candidates are packed into blocks, each an
+inverted index: a posting list for every component, with the rows and weights that aren't
+zero. Queries are sparse rows, dealt into blocks by a hash. Every block of queries meets
+every block of candidates: for one component after the other, the weights that queries
+have there are scattered over the component's postings into dense score arrays, the best
+k of the block are selected by partition, and the blocks' winners are merged by a ranked
+window that keeps k rows a query before its shuffle already.
+
+Candidates stay where they are. Blocks of queries are broadcast in turn, as many at a time
+as fit BROADCAST_BYTES, and a turn's queries meet all candidates, so its result is final
+and is written. Blocks are cut by the vectors' length, so a pair of blocks is a bounded
+piece of work of its own.
 
 Defined cases: vectors that are null or hold null, NaN or infinite components, and rows
 without an id, take no part; vectors of different lengths are compared over the
 components that both have; an empty vector scores 0; rows of equal id are separate rows,
-and a query leaves out its own row only; scores beyond 63 bits are not supported.
+and a query leaves out its own row only; further columns are ignored; scores beyond 63 bits
+are not supported; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,8 +31,10 @@ from . import common as C
 
 SCALE = 64
 K = 20
+#: Rows of a block of candidates and of queries, at most, and entries that a block may have.
 BLOCK = 8192
 QUERY_BLOCK = 4096
+ENTRIES = 1 << 21
 #: Queries that are scored at once against a block.
 ROWS = 64
 
@@ -41,8 +48,15 @@ def quantised(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding"
     return rows.select("id", "rid", F.transform("x", lambda v: F.floor(v * scale).cast("long")).alias("q"))
 
 
-def _pack(size: int):
-    """Rows (block, id, rid, q) to packed blocks of at most `size` rows of the same `block`."""
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The same integers, as few bytes each as they need."""
+    top = int(np.abs(x).max(initial=0))
+    return x.astype(np.int16 if top < 1 << 15 else np.int32 if top < 1 << 31 else np.int64)
+
+
+def _pack(size: int, by_component: bool):
+    """Rows (block, id, rid, q) to packed blocks of at most `size` rows of the same `block`: lists of
+    the entries that aren't zero, one a component (of rows) or one a row (of components)."""
 
     def packed(block, rows):
         ids = np.concatenate([r[0] for r in rows])
@@ -50,10 +64,13 @@ def _pack(size: int):
         dim = max(r[2].shape[1] for r in rows)
         m = np.concatenate([np.pad(r[2], ((0, 0), (0, dim - r[2].shape[1]))) for r in rows])
         order = np.lexsort((rids, ids))  # ties go to the smaller id, which then comes first
-        m = m[order]
-        cols = [pa.array([block], pa.int32()), pa.array([dim], pa.int32())]
-        cols += [pa.array([x.tobytes()], pa.binary()) for x in (ids[order], rids[order], m)]
-        return pa.RecordBatch.from_arrays(cols, ["block", "dim", "ids", "rids", "q"])
+        m = m[order].T if by_component else m[order]
+        of, at = np.nonzero(m)
+        heads = np.searchsorted(of, np.arange(len(m) + 1))
+        weights = _narrow(m[of, at])
+        cols = [pa.array([x], pa.int32()) for x in (block, dim, weights.dtype.itemsize)]
+        cols += [pa.array([x.tobytes()], pa.binary()) for x in (ids[order], rids[order], heads.astype(np.int32), at.astype(np.int32), weights)]
+        return pa.RecordBatch.from_arrays(cols, ["block", *NAMES])
 
     def run(batches):
         open_: dict[int, list] = {}
@@ -83,31 +100,49 @@ def _pack(size: int):
     return run
 
 
-PACKED = "block int, dim int, ids binary, rids binary, q binary"
+NAMES = ("dim", "width", "ids", "rids", "heads", "at", "weights")
+PACKED = "block int, dim int, width int, ids binary, rids binary, heads binary, at binary, weights binary"
+
+
+class Block:
+    """A packed block: list t of entries is (at, weights)[heads[t]:heads[t + 1]]."""
 
+    def __init__(self, dim: int, width: int, ids: bytes, rids: bytes, heads: bytes, at: bytes, weights: bytes):
+        self.dim = dim
+        self.ids, self.rids = np.frombuffer(ids, np.int64), np.frombuffer(rids, np.int64)
+        self.heads, self.at = np.frombuffer(heads, np.int32), np.frombuffer(at, np.int32)
+        self.weights = np.frombuffer(weights, f"<i{width}")
+        self.top = int(np.abs(self.weights.astype(np.int64)).max(initial=0))
 
-def _unpack(dim: int, ids: bytes, rids: bytes, q: bytes):
-    ids, rids = np.frombuffer(ids, np.int64), np.frombuffer(rids, np.int64)
-    return ids, rids, np.frombuffer(q, np.int64).reshape(len(ids), dim)
+    def rows(self, lo: int, hi: int) -> np.ndarray:
+        """Rows lo:hi of a block by rows, as columns of a dense array."""
+        hi = min(hi, len(self.ids))
+        out = np.zeros((self.dim, hi - lo), np.int64)
+        a, b = self.heads[lo], self.heads[hi]
+        out[self.at[a:b], np.repeat(np.arange(hi - lo), np.diff(self.heads[lo : hi + 1]))] = self.weights[a:b]
+        return out
 
 
-def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Scores of all pairs, one component after the other. Components that few candidates
-    have are scattered over their postings; the others are added to the whole array."""
-    dim = min(queries.shape[1], candidates.shape[1])
-    top = np.abs(queries).max(initial=0).astype(float) * np.abs(candidates).max(initial=0) * max(1, dim)
-    kind = np.int32 if top < 2**31 else np.int64
-    scores = np.zeros((len(queries), len(candidates)), kind)
+def accumulate(queries: np.ndarray, candidates: Block) -> np.ndarray:
+    """Scores (candidates, queries) of queries, the columns of an array, one component after the
+    other: its weights are scattered over its postings. A list of all rows is taken as a slice."""
+    dim, n = min(len(queries), candidates.dim), len(candidates.ids)
+    kind = np.int32 if float(np.abs(queries).max(initial=0)) * candidates.top * max(1, dim) < 2**31 else np.int64
+    queries = queries.astype(kind)
+    scores = np.zeros((n, queries.shape[1]), kind)
     spare = np.empty_like(scores)
     for t in range(dim):
-        weights, column = queries[:, t].astype(kind), candidates[:, t].astype(kind)
-        rows = np.flatnonzero(weights)
-        postings = np.flatnonzero(column)
-        if len(postings) * len(rows) * 8 < scores.size:
-            scores[np.ix_(rows, postings)] += np.multiply.outer(weights[rows], column[postings])
+        a, b = candidates.heads[t], candidates.heads[t + 1]
+        asked = np.flatnonzero(queries[t])
+        if a == b or not len(asked):
+            continue
+        weights = candidates.weights[a:b].astype(kind)
+        postings = candidates.at[a:b] if b - a < n else slice(None)
+        if len(asked) == queries.shape[1]:
+            scores[postings] += np.multiply.outer(weights, queries[t], out=spare[: b - a])
         else:
-            np.multiply.outer(weights, column, out=spare)
-            scores += spare
+            at = np.ix_(candidates.at[a:b], asked)
+            scores[at] += np.multiply.outer(weights, queries[t, asked])
     return scores
 
 
@@ -130,19 +165,22 @@ def select(scores: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.
 
 
 def _score(k: int):
+    """Rows (packed candidates, packed queries) to the best k candidates of each query in the block."""
+
     def run(batches):
         names = ["query_id", "query_rid", "vec_id", "vec_rid", "score"]
+        width = len(NAMES)
         for b in batches:
             for i in range(b.num_rows):
-                c, q = (_unpack(*(b.column(j)[i].as_py() for j in range(s, s + 4))) for s in (0, 4))
-                by_rid = np.argsort(c[1])
-                for lo in range(0, len(q[0]), ROWS):
-                    rids = q[1][lo : lo + ROWS]
-                    at = np.minimum(np.searchsorted(c[1], rids, sorter=by_rid), len(by_rid) - 1)
-                    own = np.where(c[1][by_rid[at]] == rids, by_rid[at], -1)
-                    scores = accumulate(q[2][lo : lo + ROWS], c[2])
+                c, q = (Block(*(b.column(j)[i].as_py() for j in range(s, s + width))) for s in (0, width))
+                by_rid = np.argsort(c.rids)
+                for lo in range(0, len(q.ids), ROWS):
+                    rids = q.rids[lo : lo + ROWS]
+                    at = np.minimum(np.searchsorted(c.rids, rids, sorter=by_rid), len(by_rid) - 1)
+                    own = np.where(c.rids[by_rid[at]] == rids, by_rid[at], -1)
+                    scores = np.ascontiguousarray(accumulate(q.rows(lo, lo + ROWS), c).T)
                     row, column = select(scores, own, k)
-                    cols = (q[0][lo + row], q[1][lo + row], c[0][column], c[1][column], scores[row, column].astype(np.int64))
+                    cols = (q.ids[lo + row], q.rids[lo + row], c.ids[column], c.rids[column], scores[row, column].astype(np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names)
 
     return run
@@ -151,18 +189,32 @@ def _score(k: int):
 def top_k(vectors: DataFrame, queries, key: str = "vec_id", vector: str = "embedding", k: int = K, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of vectors for which the condition
     `queries` on the column `id` holds, its k best other rows."""
-    C.bounded_memory(vectors.sparkSession)
+    spark = vectors.sparkSession
+    C.bounded_memory(spark)
     rows = C.settle(quantised(vectors, key, vector, scale), "topk-vectors")
     asked = rows.where(queries)
-    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    longest, n_asked = rows.agg(F.max(F.size("q")), F.count_if(queries)).first()
+    room = max(ROWS, ENTRIES // max(1, longest or 0))
+    block = min(QUERY_BLOCK, room)
+    n_blocks = max(1, -(-n_asked // block))
     deal = F.pmod(F.xxhash64("rid"), F.lit(n_blocks)).cast("int").alias("block")
-    dealt = asked.select(deal, "id", "rid", "q").repartition(n_blocks, "block")
-    query_blocks = C.settle(dealt.mapInArrow(_pack(2 * QUERY_BLOCK), PACKED), "topk-queries")
-    whole = rows.select(F.lit(0).alias("block"), "id", "rid", "q").mapInArrow(_pack(BLOCK), PACKED)
-    grid = whole.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    right = query_blocks.select("block", *[F.col(c).alias("q_" + c) for c in ("dim", "ids", "rids", "q")])
-    pairs = grid.join(F.broadcast(right) if n_blocks == 1 else right, "block")
-    pairs = pairs.select("dim", "ids", "rids", "q", "q_dim", "q_ids", "q_rids", "q_q")
-    found = pairs.mapInArrow(_score(k), "query_id long, query_rid long, vec_id long, vec_rid long, score long")
+    dealt = asked.select(deal, "id", "rid", "q").repartition(min(n_blocks, C.parallel_width(spark)), "block")
+    query_blocks = C.settle(dealt.mapInArrow(_pack(2 * block, False), PACKED), "topk-queries")
+    whole = rows.select(F.lit(0).alias("block"), "id", "rid", "q").mapInArrow(_pack(min(BLOCK, room), True), PACKED).drop("block")
+    # a block's bytes: 16 a row, 4 a head, at most 12 an entry
+    per_turn = max(1, C.BROADCAST_BYTES // (2 * (16 * block + 12 * block * max(1, longest or 0))))
+    if n_blocks > per_turn:
+        whole = C.settle(whole, "topk-candidates")
+    right = query_blocks.select("block", *[F.col(c).alias("q_" + c) for c in NAMES])
     order = Window.partitionBy("query_rid").orderBy(F.desc("score"), "vec_id", "vec_rid")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def turn(lo: int, hi: int) -> DataFrame:
+        grid = whole.withColumn("block", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))))
+        pairs = grid.join(F.broadcast(right.where(F.col("block").between(lo, hi - 1))), "block")
+        found = pairs.select(*NAMES, *["q_" + c for c in NAMES]).mapInArrow(_score(k), "query_id long, query_rid long, vec_id long, vec_rid long, score long")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    if n_blocks <= per_turn:
+        return turn(0, n_blocks)
+    turns = [C.settle(turn(lo, min(lo + per_turn, n_blocks)), "topk-turn") for lo in range(0, n_blocks, per_turn)]
+    return spark.read.schema(turns[0].schema).parquet(*[t._settled_at for t in turns])
