@@ -1,23 +1,28 @@
 """Token ids in binary shards with a minimal perfect hash index.
 
-Documents are dealt by ranges of their key, so shards in order hold them in ascending
-key order. A shard is the raw ids (little-endian, two bytes each where the vocabulary
-allows), a directory (keys, which of them are null, ends of the documents' ids) and an
-index: a minimal perfect hash of the distinct keys in levels of bit maps, whose slots
-store a fingerprint of the key and where its ids lie. A keyed read looks at one bit a
-level, one slot, and the ids themselves, whatever the size of the shard; a key that the
-shard hasn't is refused by its fingerprint.
+Documents are dealt by ranges of their key (and of their text's hash, where a key is hot),
+so shards in order hold them in ascending key order; a task closes a shard at SHARD bytes
+and goes on with the next. A shard is the raw ids (little-endian, two bytes each where the
+vocabulary allows, else four), a directory (keys, which of them are null, ends of the
+documents' ids) and an index: a minimal perfect hash of the distinct keys in levels of bit
+maps, whose slots store a fingerprint of the key and where its ids lie. A bit map is in
+cells of CELL bytes, each with the number of bits set before it, so a keyed read looks at
+one cell a level, one slot, and the ids themselves, whatever the size of the shard; a key
+that the shard hasn't is refused by its fingerprint. Whole shards are read in pieces.
 
 A writer streams ids to a file of a fresh name and reports it; only reported files are in
 the manifest, so a lost executor or a repeated task leaves no trace in the result.
 
-Defined cases: null texts are empty, and an empty text still has the end id; documents of
-equal key lie next to each other (the keyed read gives the first), those of null key
-come first and are in no index; an empty table gives no shards and an empty result.
+Defined cases: null texts are empty, and an empty text still has the end id; a very long
+text is in one shard, which may then be larger than SHARD; documents of equal key lie next
+to each other (the keyed read gives the first), those of null key come first and are in no
+index; further columns, whatever their names, are ignored; an empty table gives no shards
+and an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -32,13 +37,22 @@ from pyspark.sql import functions as F
 from . import common as C
 from .storage import open_file, write_file
 
-MAGIC = b"QMIDS001"
+MAGIC = b"QMIDS002"
+#: A shard is closed at so many bytes of ids, or so many documents; it is read back in pieces of PIECE bytes.
+SHARD = 256 << 20
+SHARD_DOCS = 1 << 20
+PIECE = 8 << 20
+#: Bytes of a cell of a bit map, 8 of which are the count of bits set before it.
+CELL = 64
+BITS = 8 * (CELL - 8)
 #: Slots of a level's bit map for each key that is left.
 GAMMA = 2
 #: Chunks that an encoder remembers from one batch to the next (some 300 MB), none longer than SHORT.
 CACHE = 1_500_000
 SHORT = 64
-TAIL = struct.Struct("<8sIIQQQQ")  # magic, id width, levels, documents, ids, directory's and index's place
+# magic, id width, levels, documents, ids, places of the directory, of the table of levels and of the slots
+TAIL = struct.Struct("<8sIIQQQQQ")
+LEVEL = struct.Struct("<QQ")  # bits of a level, place of its cells
 SLOT = np.dtype([("print", "<u4"), ("n", "<u4"), ("at", "<u8")])
 U = np.uint64
 
@@ -70,6 +84,23 @@ class PerfectHash:
             keys = keys[~alone[at]]
         return cls(levels)
 
+    def cells(self) -> list[bytes]:
+        """The bit map of each level in cells."""
+        out = []
+        for bits, ranks in zip(self.levels, self.ranks):
+            padded = np.zeros(-(-len(bits) // BITS) * BITS, np.uint8)
+            padded[: len(bits)] = bits
+            cells = np.empty((len(padded) // BITS, CELL), np.uint8)
+            cells[:, 8:] = np.packbits(padded.reshape(-1, BITS), axis=1)
+            cells[:, :8] = ranks[::BITS].astype("<u8").view(np.uint8).reshape(-1, 8)
+            out.append(cells.tobytes())
+        return out
+
+    @classmethod
+    def of_cells(cls, levels: list[tuple[int, bytes]]) -> PerfectHash:
+        bits = [np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, CELL)[:, 8:], axis=1).ravel()[:n] for n, raw in levels]
+        return cls(bits)
+
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """Slot of each key; any slot, or -1, for keys that it wasn't built from."""
         out = np.full(len(keys), -1, np.int64)
@@ -91,12 +122,16 @@ class Encoder:
 
     The vocabulary drops white space, so a text's chunks between it are encoded alone, and
     a chunk met before needs no second look; nor does one that is a known word and a stop.
-    That holds for chunks of printable ASCII and Latin-1 letters, which lower-case and
+    That holds for the normaliser and split that are checked first, and chunks of printable ASCII and Latin-1 letters, which lower-case and
     compose alike everywhere; a text with any other chunk, with separators that only some
-    take for white space, or that may hold a special token, goes to the library as a whole."""
+    take for white space, or that may hold a special token, goes to the library as a whole, and
+    so do all texts of any other vocabulary."""
 
     OTHER = re.compile(r"[^!-~\xdf-\xff]")
     WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+    # The vocabulary's normaliser and split that let chunks be encoded alone.
+    NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     MARK = chr(0xE000)  # stands between chunks; its first byte is in no chunk
 
     def __init__(self, path: str, end_id: int, width: int):
@@ -107,7 +142,10 @@ class Encoder:
         self.library.no_padding()
         self.dtype = np.dtype(f"<u{width}")
         self.end = np.array([end_id], self.dtype).tobytes()
-        self.mark = self._ids([self.MARK])[0]
+        spec = json.loads(self.library.to_str())
+        split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        self.chunked = (spec["normalizer"] or {}).get("normalizers") == self.NORMALIZER and split.get("pattern") == {"Regex": self.SPLIT} and bool(split.get("invert"))
+        self.mark = self._ids([self.MARK])[0] if self.chunked else []
         self.chunks: dict[str, bytes | None] = {}
         self.passing: list[str] = []  # longer chunks, which are forgotten after their batch
 
@@ -120,7 +158,8 @@ class Encoder:
             part = chunks[k : k + 2048]
             ids = np.array(self._ids([f" {self.MARK} ".join([*part, ""])])[0], np.int64)
             at = np.flatnonzero(ids == self.mark[0])
-            assert len(at) == len(part)
+            if len(at) != len(part):
+                raise ValueError("the vocabulary doesn't keep the mark between chunks apart")
             begins = np.concatenate(([0], at[:-1] + len(self.mark)))
             raw, w = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
             self.chunks.update((c, raw[x * w : y * w]) for c, x, y in zip(part, begins.tolist(), at.tolist()))
@@ -137,6 +176,8 @@ class Encoder:
         self.passing = [c for cs in (chunks, alone) for c in cs if len(c) > SHORT]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.chunked:
+            return [np.array(ids, self.dtype).tobytes() + self.end for ids in self._ids([t or "" for t in texts])]
         out: list[bytes | None] = [None] * len(texts)
         whole = [i for i, t in enumerate(texts) if t and any(x in t for x in self.WHOLE)]
         known, open_ = self.chunks, []
@@ -171,6 +212,14 @@ def encoder(path: str, end_id: int, width: int) -> Encoder:
     return Encoder(path, end_id, width)
 
 
+def id_width(path: str, end_id: int) -> int:
+    """Bytes that the vocabulary's ids need: two or four."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    ids = [end_id, *spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]
+    return 2 if max(ids) < 1 << 16 else 4
+
+
 def _tail(keys: list, lens: list[int], width: int) -> bytes:
     """Directory, index and tail of a shard."""
     valid = np.array([k is not None for k in keys], np.uint8)
@@ -182,68 +231,87 @@ def _tail(keys: list, lens: list[int], width: int) -> bytes:
     slots = np.zeros(len(first), SLOT)
     at = index.slots(key[first])
     slots["print"][at], slots["n"][at], slots["at"][at] = _prints(key[first]), n[first], ends[first] - n[first]
-    directory = key.tobytes() + valid.tobytes() + ends.astype("<u8").tobytes()
-    maps = b"".join(struct.pack("<Q", len(x)) + np.packbits(x).tobytes() for x in index.levels)
-    payload = int(n.sum()) * width
-    return directory + maps + slots.tobytes() + TAIL.pack(MAGIC, width, len(index.levels), len(keys), int(n.sum()), payload, payload + len(directory))
+    directory = int(n.sum()) * width
+    parts = [key.tobytes() + valid.tobytes() + ends.astype("<u8").tobytes(), *index.cells()]
+    places = directory + np.cumsum([0, *map(len, parts)])
+    levels = b"".join(LEVEL.pack(len(bits), place) for bits, place in zip(index.levels, places[1:].tolist()))
+    table = int(places[-1])
+    tail = TAIL.pack(MAGIC, width, len(index.levels), len(keys), int(n.sum()), directory, table, table + len(levels))
+    return b"".join([*parts, levels, slots.tobytes(), tail])
 
 
 def _write(folder: str, path: str, end_id: int, width: int):
     def run(batches):
-        keys, lens = [], []
+        e, part, n_shards = encoder(path, end_id, width), TaskContext.get().partitionId(), 0
 
-        def chunks():
-            e = encoder(path, end_id, width)
+        def documents():
             for b in batches:
-                texts = b.column(1)
                 for k in range(0, b.num_rows, 1000):
-                    keys.extend(b.column(0).slice(k, 1000).to_pylist())
-                    for ids in e.encode(texts.slice(k, 1000).to_pylist()):
-                        lens.append(len(ids) // width)
-                        yield ids
-            if keys:
+                    yield from zip(b.column(0).slice(k, 1000).to_pylist(), e.encode(b.column(1).slice(k, 1000).to_pylist()))
+
+        left = documents()
+        head = next(left, None)
+        while head is not None:  # no file for an empty partition
+            keys, lens = [], []
+
+            def chunks():
+                nonlocal head
+                size = 0
+                while head is not None and (not keys or (size + len(head[1]) <= SHARD and len(keys) < SHARD_DOCS)):
+                    key, ids = head
+                    keys.append(key)
+                    lens.append(len(ids) // width)
+                    size += len(ids)
+                    yield ids
+                    head = next(left, None)
                 yield _tail(keys, lens, width)
 
-        # no file for an empty partition
-        stream = chunks()
-        first = next(stream, None)
-        if first is not None:
-            part = TaskContext.get().partitionId()
-            uri, _ = write_file(folder, f"part-{part:06d}", (x for xs in ([first], stream) for x in xs))
-            cols = [pa.array([v], t) for v, t in ((part, pa.int32()), (uri, pa.string()), (len(keys), pa.int64()), (sum(lens), pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["part", "uri", "n_docs", "n_ids"])
+            uri, _ = write_file(folder, f"part-{part:06d}-{n_shards:06d}", chunks())
+            values = ((part, pa.int32()), (n_shards, pa.int32()), (uri, pa.string()), (len(keys), pa.int64()), (sum(lens), pa.int64()), (keys[0], pa.int64()), (keys[-1], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in values], ["part", "turn", "uri", "n_docs", "n_ids", "first_key", "last_key"])
+            n_shards += 1
 
     return run
 
 
-def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, key: str = "doc_id", text: str = "text", width: int = 2) -> DataFrame:
-    """Write the ids of all texts under folder; returns the manifest (part, uri, n_docs, n_ids,
-    base: ids of all shards before)."""
+MANIFEST = "part int, turn int, uri string, n_docs long, n_ids long, first_key long, last_key long"
+
+
+def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, key: str = "doc_id", text: str = "text", width: int | None = None) -> DataFrame:
+    """Write the ids of all texts under folder; returns the manifest (part, turn, uri, n_docs, n_ids,
+    first_key, last_key, base: ids of all shards before)."""
     C.bounded_memory(docs.sparkSession)
-    rows = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("body"))
-    dealt = rows.repartitionByRange(C.parallel_width(docs.sparkSession), F.col("key").asc_nulls_first())
-    ordered = dealt.sortWithinPartitions(F.col("key").asc_nulls_first(), "body")
-    shards = C.settle(ordered.mapInArrow(_write(folder, path, end_id, width), "part int, uri string, n_docs long, n_ids long"), "id-manifest")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
+    rows = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("body"), F.xxhash64(docs[text]).alias("spread"))
+    # rows of one key go to several tasks by the hash of their text
+    by = (F.col("key").asc_nulls_first(), F.col("spread").asc())
+    ordered = rows.repartitionByRange(C.parallel_width(docs.sparkSession), *by).sortWithinPartitions(*by, "body").select("key", "body")
+    shards = C.settle(ordered.mapInArrow(_write(folder, path, end_id, width or id_width(path, end_id)), MANIFEST), "id-manifest")
+    before = Window.orderBy("part", "turn").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
     return shards.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
+def lookup(manifest: DataFrame, key: int) -> np.ndarray | None:
+    """The ids of the first document of a key, by the manifest and the shard's index."""
+    held = manifest.where((F.col("last_key") >= key) & (F.coalesce("first_key", F.lit(-(1 << 63))) <= key))
+    for uri in (r.uri for r in held.orderBy("base").select("uri").toLocalIterator()):
+        ids = Shard(uri).get(key)
+        if ids is not None:
+            return ids
+    return None
+
+
 class Shard:
     """A shard of ids, read by key or whole."""
 
     def __init__(self, uri: str):
         self.file = open_file(uri)
         size = self.file.size()
-        magic, self.width, n_levels, self.n_docs, self.n_ids, directory, index = TAIL.unpack(self._read(size - TAIL.size, TAIL.size))
+        magic, self.width, n_levels, self.n_docs, self.n_ids, self.directory, table, self.slots_at = TAIL.unpack(self._read(size - TAIL.size, TAIL.size))
         if magic != MAGIC:
             raise ValueError(f"{uri} holds no token ids")
-        self.dtype, self.directory = np.dtype(f"<u{self.width}"), directory
-        raw, at, levels = self._read(index, size - TAIL.size - index), 0, []
-        for _ in range(n_levels):
-            (n,) = struct.unpack_from("<Q", raw, at)
-            levels.append(np.unpackbits(np.frombuffer(raw, np.uint8, n // 8, at + 8)))
-            at += 8 + n // 8
-        self.hash, self.slots = PerfectHash(levels), np.frombuffer(raw, SLOT, offset=at)
+        self.dtype = np.dtype(f"<u{self.width}")
+        self.levels = list(LEVEL.iter_unpack(self._read(table, LEVEL.size * n_levels)))
+        self.n_slots = (size - TAIL.size - self.slots_at) // SLOT.itemsize
 
     def _read(self, at: int, n: int) -> bytes:
         self.file.seek(at)
@@ -255,10 +323,13 @@ class Shard:
         return np.frombuffer(raw, "<i8", n), np.frombuffer(raw, np.uint8, n, 8 * n) == 1, np.frombuffer(raw, "<u8", n, 9 * n).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Whether each key is here, where its ids begin, and how many they are."""
-        slot = self.hash.slots(keys)
+        """Whether each key is here, where its ids begin, and how many they are; for many keys, so
+        the whole index is read."""
+        index = PerfectHash.of_cells([(n, self._read(at, -(-n // BITS) * CELL)) for n, at in self.levels])
+        slots = np.frombuffer(self._read(self.slots_at, self.n_slots * SLOT.itemsize), SLOT)
+        slot = index.slots(keys)
         known = np.flatnonzero(slot >= 0)
-        here, s = np.zeros(len(keys), bool), self.slots[slot]
+        here, s = np.zeros(len(keys), bool), slots[slot]
         here[known] = s["print"][known] == _prints(keys[known])
         return here, s["at"].astype(np.int64), s["n"].astype(np.int64)
 
@@ -266,11 +337,17 @@ class Shard:
         return np.frombuffer(self._read(at * self.width, n * self.width), self.dtype)
 
     def get(self, key: int) -> np.ndarray | None:
-        """The ids of the first document of this key."""
-        if not self.n_docs or not len(self.slots):
-            return None
-        here, at, n = self.find(np.array([key], np.int64))
-        return self.ids(int(at[0]), int(n[0])) if here[0] else None
+        """The ids of the first document of this key: a cell a level, a slot and the ids are read."""
+        one = np.array([key], np.int64)
+        for k, (n_bits, place) in enumerate(self.levels):
+            cell, bit = divmod(int(_hash(one, k + 1)[0] % U(n_bits)), BITS)
+            raw = self._read(place + CELL * cell, CELL)
+            upto = int.from_bytes(raw[8:], "big") >> (BITS - 1 - bit)  # the bits through this one
+            if upto & 1:
+                slot = int.from_bytes(raw[:8], "little") + (upto >> 1).bit_count()
+                s = np.frombuffer(self._read(self.slots_at + slot * SLOT.itemsize, SLOT.itemsize), SLOT)[0]
+                return self.ids(int(s["at"]), int(s["n"])) if s["print"] == _prints(one)[0] else None
+        return None
 
 
 def _read_batches(batches):
@@ -288,15 +365,18 @@ def _read_batches(batches):
                 if not here.all():
                     raise ValueError(f"the index of {uri} misses keys")
                 at[first], n[first] = found, length
-            payload = memoryview(s._read(0, s.n_ids * s.width))
-            for lo in range(0, len(key), 8192):
-                x, y = at[lo : lo + 8192], n[lo : lo + 8192]
-                crc = [zlib.crc32(np.frombuffer(payload[a * s.width : (a + k) * s.width], s.dtype).astype("<u4").tobytes()) for a, k in zip(x.tolist(), y.tolist())]
-                keys = pa.array(key[lo : lo + 8192], mask=~valid[lo : lo + 8192])
-                yield pa.RecordBatch.from_arrays([keys, pa.array(x + base), pa.array(y), pa.array(crc, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"])
+            lo = 0
+            while lo < len(key):
+                hi = max(lo + 1, int(np.searchsorted(ends, at[lo] + PIECE // s.width, side="right")))
+                x, y = at[lo:hi], n[lo:hi]
+                ids = s.ids(int(x[0]), int(x[-1] + y[-1] - x[0])).astype("<u4")
+                crc = [zlib.crc32(ids[a : a + k].tobytes()) for a, k in zip((x - x[0]).tolist(), y.tolist())]
+                cols = [pa.array(key[lo:hi], mask=~valid[lo:hi]), pa.array(x + base), pa.array(y), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "start", "n_tokens", "ids_crc32"])
+                lo = hi
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
-    """(key, start, n_tokens, ids_crc32) of every document, from the files; a task a shard."""
-    n = max(1, manifest.count())
-    return manifest.select("uri", "base").repartition(n).mapInArrow(_read_batches, "key long, start long, n_tokens long, ids_crc32 long")
+    """(key, start, n_tokens, ids_crc32) of every document, from the files."""
+    dealt = manifest.select("uri", "base").repartition(C.parallel_width(manifest.sparkSession))
+    return dealt.mapInArrow(_read_batches, "key long, start long, n_tokens long, ids_crc32 long")
