@@ -122,11 +122,16 @@ def numbered(df: DataFrame, tag: str) -> DataFrame:
     return settle(df.select(F.monotonically_increasing_id().alias("rid"), row), tag)
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """`df` (already settled) with a broadcast hint if it has at most so many rows and bytes."""
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether `df` (already settled) has at most so many rows and bytes."""
     text = [F.coalesce(F.sum(F.octet_length(F.col(c))), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
     n, *texts = df.limit(rows + 1).agg(F.count(F.lit(1)), *text).first()
-    return F.broadcast(df) if n <= rows and 8 * n * len(df.columns) + sum(texts) <= size else df
+    return n <= rows and 8 * n * len(df.columns) + sum(texts) <= size
+
+
+def checked_broadcast(df: DataFrame) -> DataFrame:
+    """`df` (already settled) with a broadcast hint if it fits."""
+    return F.broadcast(df) if fits(df) else df
 
 
 def let(value: Column, body) -> Column:

@@ -15,14 +15,17 @@ greedily from the largest class that still fits. So a source ends within a few w
 its target where it has short documents. Ranks are counted inside hash bins of a class,
 so no window holds a hot source or a large group of copies at once.
 
-Defined cases: a null text has size 0 and is never taken; null is a source of its own and
-the last; equal rows are each a document; sources without words get target 0; reruns give
-the same rows because every order is one of hashes and column values.
+Defined cases: a null or empty text has size 0 and is never taken; null is a source of its
+own and the last; equal rows are each a document; sources without words get target 0; an
+empty table gives an empty result; a very long text is one large size like any other;
+further columns, whatever their names, pass through untouched. Reruns give the same rows
+because every order is one of hashes and column values; where ids are equal too, rows of
+the same size are told apart by their number in a table that is written once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -85,12 +88,13 @@ def solve(classes: DataFrame, goal: DataFrame, cap: int = CAP, max_steps: int =
         "mix-state",
     )
     z = F.col("size") / F.col("scale")
+    hint = F.broadcast if C.fits(state) else lambda df: df  # a row a source, in every step
     for _ in range(max_steps):
         r = _rate(F.col("lam"), z, cap)
         mass = F.col("n") * F.col("size") * r
         keep = ["s", "scale", "target", "lam", "low", "high"]
         sums = (
-            classes.join(C.checked_broadcast(state), same)
+            classes.join(hint(state), same)
             .groupBy(*keep)
             .agg(_exact(mass).alias("got"), _exact(F.when(r < cap, mass * z).otherwise(0.0)).alias("slope"))
         )
@@ -102,15 +106,16 @@ def solve(classes: DataFrame, goal: DataFrame, cap: int = CAP, max_steps: int =
         mid = mid.otherwise((F.col("nlow") + F.col("nhigh")) / 2)
         met = F.abs(F.col("got") - F.col("target")) <= F.greatest(F.lit(1e-3), F.col("target") * 1e-9)
         inside = (F.col("step") > F.col("nlow")) & (F.col("step") < F.col("nhigh"))
+        seen = Observation()
         state = C.settle(
             sums.select(*keep, low.alias("nlow"), high.alias("nhigh"), step.alias("step"), met.alias("met")).select(
                 "s", "scale", "target",
                 F.when(F.col("met"), F.col("lam")).when(inside, F.col("step")).otherwise(mid).alias("lam"),
                 F.col("nlow").alias("low"), F.col("nhigh").alias("high"), "met",
-            ),
+            ).observe(seen, F.count_if(~F.col("met")).alias("open")),
             "mix-state",
         )
-        if state.where(~F.col("met")).isEmpty():
+        if not seen.get["open"]:
             break
     else:
         raise RuntimeError(f"no rates meet the targets after {max_steps} steps")

@@ -215,7 +215,7 @@ def test_op3_chunks_equal_whole_texts():
         assert np.frombuffer(ids, "<u2").tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
 
 
-def test_op3_keyed_access(spark, odd, empty):
+def test_op3_keyed_access(spark, odd, empty, monkeypatch):
     folder = common.scratch(spark, "ids")
     manifest = token_files.write_shards(odd, folder, queries.WORD_BPE, 2)
     rows = token_files.read_shards(manifest).orderBy("start").collect()
@@ -224,12 +224,71 @@ def test_op3_keyed_access(spark, odd, empty):
     t = Tokenizer.from_file(queries.WORD_BPE)
     shards = [token_files.Shard(m.uri) for m in manifest.collect()]
     for key, text in {5: LONG, 4: ODD[3][1], 1: ""}.items():
-        hits = [x.tolist() for x in (s.get(key) for s in shards) if x is not None]
-        assert hits == [[*t.encode(text, add_special_tokens=False).ids, 2]]
-    assert all(s.get(k) is None for s in shards for k in range(10_000, 10_400))
+        assert token_files.lookup(manifest, key).tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
+    assert all(s.get(k) is None for s in shards for k in range(10_000, 10_400)) and token_files.lookup(manifest, 7) is None
     assert token_files.read_shards(token_files.write_shards(empty, common.scratch(spark, "ids"), queries.WORD_BPE, 2)).count() == 0
 
 
+def written(spark, monkeypatch, keys, texts, width=2, path=queries.WORD_BPE):
+    """Shards of one task, written here."""
+    import pyarrow as pa
+
+    class Context:
+        @staticmethod
+        def partitionId():
+            return 0
+
+    monkeypatch.setattr(token_files.TaskContext, "get", lambda: Context)
+    b = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts)], ["key", "body"])
+    return [r for x in token_files._write(common.scratch(spark, "ids"), path, 2, width)([b]) for r in x.to_pylist()]
+
+
+def test_op3_shards_close_and_are_read_in_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "SHARD", 300)
+    monkeypatch.setattr(token_files, "PIECE", 64)
+    texts = [" ".join(["word"] * (k % 37)) for k in range(200)] + [LONG]
+    shards = written(spark, monkeypatch, list(range(201)), texts)
+    assert len(shards) > 10 and [s["turn"] for s in shards] == list(range(len(shards)))
+    assert all(s["n_ids"] * 2 <= 300 or s["n_docs"] == 1 for s in shards)
+    base = np.cumsum([0, *[s["n_ids"] for s in shards]])[:-1]
+    m = pa.RecordBatch.from_arrays([pa.array([s["uri"] for s in shards]), pa.array(base)], ["uri", "base"])
+    t, at = Tokenizer.from_file(queries.WORD_BPE), 0
+    rows = [r for x in token_files._read_batches([m]) for r in x.to_pylist()]
+    for k, (r, text) in enumerate(zip(rows, texts, strict=True)):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 2]
+        assert (r["key"], r["start"], r["n_tokens"], r["ids_crc32"]) == (k, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_op3_a_keyed_read_reads_little(spark, monkeypatch):
+    keys = np.unique(np.random.default_rng(3).integers(-(1 << 62), 1 << 62, 60_000)).tolist()
+    (m,) = written(spark, monkeypatch, keys, [f"w{k % 7}" for k in range(len(keys))])
+    s = token_files.Shard(m["uri"])
+    reads, plain = [], s._read
+    s._read = lambda at, n: reads.append(n) or plain(at, n)
+    for k in keys[::997]:
+        reads.clear()
+        assert s.get(k) is not None and sum(reads) < 2000
+    assert s.get(5) is None and s.find(np.array(keys))[0].all()
+
+
+def test_op3_wide_and_other_vocabularies(spark, monkeypatch, tmp_path):
+    import json
+
+    spec = json.load(open(queries.BYTE_BPE))
+    top = max(spec["model"]["vocab"].values()) + 1
+    spec["added_tokens"][0]["id"] = top
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    assert token_files.id_width(queries.WORD_BPE, 2) == 2 and token_files.id_width(queries.WORD_BPE, 70_000) == 4
+    texts = ["", "Some  Text\n<|endoftext|> Ünd more", LONG]
+    (m,) = written(spark, monkeypatch, [1, 2, 3], texts, 4, str(tmp_path / "v.json"))
+    s, t = token_files.Shard(m["uri"]), Tokenizer.from_file(str(tmp_path / "v.json"))
+    for k, text in zip((1, 2, 3), texts):
+        assert s.get(k).tolist() == [*t.encode(text, add_special_tokens=False).ids, 2] and s.width == 4
+
+
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000))
     slots = token_files.PerfectHash.build(keys).slots(keys)
@@ -409,7 +468,7 @@ def test_op6_odd_rows(odd, empty):
 def test_op7_odd_vectors(spark):
     inf, nan = float("inf"), float("nan")
     vectors = [(0, [1.0, -0.5]), (0, [1.0, -0.5]), (20, [0.01, 2.0, 3.0]), (1, []), (2, None), (3, [nan, 1.0]), (4, [inf]), (5, [None, 1.0]), (None, [9.0, 9.0]), (6, [0.0, 0.0]), (7, [1.0, -0.5]), (40, [])]
-    df = common.settle(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), "vec")
+    df = common.settle(spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumns({c: F.lit(c) for c in ("id", "rid", "q", "x", "block", "score", "rank", "dim")}), "vec")
     rows = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     expected = Counter()
     for a, (i, v) in enumerate(rows):
@@ -421,13 +480,25 @@ def test_op7_odd_vectors(spark):
     assert topk.top_k(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
-def test_op7_blocks_and_scatter(spark, monkeypatch):
+def block(m, by_component=True):
+    """The rows of an array as a packed block, with row numbers as ids."""
+    import pyarrow as pa
+
+    n = np.arange(len(m))
+    b = pa.RecordBatch.from_arrays([pa.array(n * 0, pa.int32()), pa.array(n), pa.array(n), pa.array(list(map(list, m)), pa.list_(pa.int64()))], ["block", "id", "rid", "q"])
+    (out,) = [r for x in topk._pack(len(m), by_component)([b]) for r in x.to_pylist()]
+    return topk.Block(*(out[c] for c in topk.NAMES))
+
+
+@pytest.mark.parametrize("room", (1 << 25, 1))
+def test_op7_blocks_and_scatter(spark, monkeypatch, room):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", room)  # 1: every block of queries has a turn of its own
     rng = np.random.default_rng(2)
     x = np.where(rng.random((300, 12)) < 0.1, rng.normal(size=(300, 12)), 0.0)
     df = common.settle(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), "vec")
     q = np.floor(64 * x).astype(np.int64)
-    assert (topk.accumulate(q[:7], q) == q[:7] @ q.T).all()
+    assert (topk.accumulate(q[:7].T, block(q)) == q @ q[:7].T).all()
     got = defaultdict(list)
     for r in topk.top_k(df, F.col("id") % 20 == 0).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
@@ -438,7 +509,7 @@ def test_op7_blocks_and_scatter(spark, monkeypatch):
 
 def test_op7_large_scores():
     big = np.array([[1 << 40, 1], [1 << 40, 0]], np.int64)
-    scores = topk.accumulate(big, np.array([[1 << 20, 5], [1 << 20, 5], [-(1 << 20), 1]], np.int64))
+    scores = topk.accumulate(big.T, block(np.array([[1 << 20, 5], [1 << 20, 5], [-(1 << 20), 1]], np.int64))).T
     row, column = topk.select(scores, np.array([0, -1]), 2)
     assert sorted(zip(row.tolist(), column.tolist())) == [(0, 1), (0, 2), (1, 0), (1, 1)]
 
