@@ -5,8 +5,8 @@ inverted index: a posting list for every component, with the rows and weights th
 zero. Queries are sparse rows, dealt into blocks by a hash. Every block of queries meets
 every block of candidates: for one component after the other, the weights that queries
 have there are scattered over the component's postings into dense score arrays, the best
-k of the block are selected by partition, and the blocks' winners are merged by a ranked
-window that keeps k rows a query before its shuffle already.
+k of the block are selected by partition, and the blocks' winners are merged: by a task for
+the blocks that it reads, so it gives at most k rows a query, then by a ranked window.
 
 Candidates stay where they are. Blocks of queries are broadcast in turn, as many at a time
 as fit BROADCAST_BYTES, and a turn's queries meet all candidates, so its result is final
@@ -32,11 +32,13 @@ from . import common as C
 SCALE = 64
 K = 20
 #: Rows of a block of candidates and of queries, at most, and entries that a block may have.
-BLOCK = 8192
+BLOCK = 1024
 QUERY_BLOCK = 4096
 ENTRIES = 1 << 21
-#: Queries that are scored at once against a block.
-ROWS = 64
+#: Queries that are scored at once against a block: their scores and a term's products lie in the cache.
+ROWS = 256
+#: Blocks whose winners a task holds before it merges them.
+HELD = 8
 
 
 def quantised(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -164,15 +166,44 @@ def select(scores: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return row[keep], column[keep]
 
 
+class Winners:
+    """The best k of each query of a block, merged from the winners of many candidate blocks."""
+
+    def __init__(self, ids: np.ndarray, rids: np.ndarray, k: int):
+        self.ids, self.rids, self.k = ids, rids, k
+        self.parts: list[tuple[np.ndarray, ...]] = []  # query row, score, id, rid
+
+    def add(self, *part: np.ndarray) -> None:
+        self.parts.append(part)
+        if len(self.parts) > HELD * -(-len(self.ids) // ROWS):
+            self.merge()
+
+    def merge(self) -> None:
+        row, score, ids, rids = (np.concatenate(c) for c in zip(*self.parts))
+        order = np.lexsort((rids, ids, -score, row))
+        row = row[order]
+        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        rank = np.arange(len(row)) - np.repeat(first, np.diff(np.concatenate((first, [len(row)]))))
+        best = order[rank < self.k]
+        self.parts = [tuple(np.concatenate(c)[best] for c in zip(*self.parts))]
+
+    def batch(self) -> pa.RecordBatch:
+        self.merge()
+        row, score, ids, rids = self.parts[0]
+        cols = (self.ids[row], self.rids[row], ids, rids, score)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["query_id", "query_rid", "vec_id", "vec_rid", "score"])
+
+
 def _score(k: int):
-    """Rows (packed candidates, packed queries) to the best k candidates of each query in the block."""
+    """Rows (packed candidates, packed queries) to the best k candidates of each query."""
 
     def run(batches):
-        names = ["query_id", "query_rid", "vec_id", "vec_rid", "score"]
         width = len(NAMES)
+        held: dict[tuple[int, int], Winners] = {}  # by what tells a block of queries: its first row and its length
         for b in batches:
             for i in range(b.num_rows):
                 c, q = (Block(*(b.column(j)[i].as_py() for j in range(s, s + width))) for s in (0, width))
+                winners = held.setdefault((int(q.rids[0]), len(q.rids)), Winners(q.ids, q.rids, k))
                 by_rid = np.argsort(c.rids)
                 for lo in range(0, len(q.ids), ROWS):
                     rids = q.rids[lo : lo + ROWS]
@@ -180,8 +211,9 @@ def _score(k: int):
                     own = np.where(c.rids[by_rid[at]] == rids, by_rid[at], -1)
                     scores = np.ascontiguousarray(accumulate(q.rows(lo, lo + ROWS), c).T)
                     row, column = select(scores, own, k)
-                    cols = (q.ids[lo + row], q.rids[lo + row], c.ids[column], c.rids[column], scores[row, column].astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names)
+                    winners.add(lo + row, scores[row, column].astype(np.int64), c.ids[column], c.rids[column])
+        for winners in held.values():
+            yield winners.batch()
 
     return run
 
