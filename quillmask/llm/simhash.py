@@ -1,20 +1,22 @@
 """SimHash near-dedup by deletion-variant signatures.
 
 A fingerprint's 64 bits are cut into two segments, fewer than the usual three for two
-differing bits, because the index allows one differing bit in a segment: of two
-segments that together differ in at most two bits, one differs in at most one. Each
-segment is indexed under its 32 variants with one bit left out; equal variants are
-joined and verified on the whole fingerprints.
+differing bits, because the index allows one differing bit in a segment: of two segments
+that together differ in at most two bits, one differs in at most one. The upper segment is
+indexed under its 32 variants with one bit left out, and both are indexed as they are.
+Where each segment differs in one bit, the upper one's variants are equal; where all the
+difference is in one segment, the other one is equal as it is, so the lower one needs no
+variants. Equal keys are joined and verified on the whole fingerprints.
 
 Only distinct fingerprints are indexed, so a group of copies costs one. A bucket of two
 gives its pair from min and max of one grouped aggregation, without gathering it. Fuller
-buckets, of which a large corpus has many by chance, are split by further bits: two of
-their members differ in at most two bits of the other segment, so they agree on one of its
-thirds, and members are bucketed again by each third. What is still in buckets of more than
-two then shares 41 bits or more and is truly crowded: these few fingerprints are listed
-under all their variants with two bits left out, where a bucket holds at most four, all of
-them links. So every link is found whatever the size of the buckets, and no bucket is
-gathered or paired up.
+buckets, of which a large corpus has many by chance, are split by further bits: members
+that differ in the variant's bit differ in at most one of the lower segment and agree on
+one of its halves; members of one whole segment agree on one of the other's thirds. They
+are bucketed again by those. What is still in buckets of more than two then shares 42 bits
+or more and is truly crowded: these few fingerprints are listed under all their variants
+with two bits left out, where a bucket holds at most four, all of them links. So every link
+is found whatever the size of the buckets, and no bucket is gathered or paired up.
 
 Defined cases: a text without words (null included) has fingerprint zero and is linked
 like any other; every row is a document of its own, equal ids included; a null id never
@@ -85,14 +87,17 @@ def fingerprints(docs: DataFrame, text: str = "text", n_words: int = WORDS) -> D
     return rows.mapInArrow(_fingerprints(n_words), schema)
 
 
-def _variants(fps: DataFrame) -> DataFrame:
-    """(key, fp): both halves of fp with one bit left out, under segment and bit."""
+#: Kinds of keys: 0 to 31 are variants of the upper segment, then both segments as they are.
+UPPER, LOWER = 32, 33
+LOW32 = (1 << 32) - 1
 
-    def key(segment, bit):
-        value = F.shiftrightunsigned("fp", 32 * segment).bitwiseAND(F.lit((1 << 32) - 1 - (1 << bit)))
-        return value.bitwiseOR(F.lit((segment * 32 + bit) << 32))
 
-    return fps.select(F.explode(F.array(*[key(s, b) for s in (0, 1) for b in range(32)])).alias("key"), "fp")
+def _variants(fps: DataFrame) -> DataFrame:
+    """(key, fp): the segments of fp that it is found by, under their kind."""
+    upper, lower = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(LOW32))
+    keys = [upper.bitwiseAND(F.lit(LOW32 - (1 << b))).bitwiseOR(F.lit(b << 32)) for b in range(32)]
+    keys += [upper.bitwiseOR(F.lit(UPPER << 32)), lower.bitwiseOR(F.lit(LOWER << 32))]
+    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
 def _ends(rows: DataFrame, *keys: str) -> DataFrame:
@@ -100,12 +105,16 @@ def _ends(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
 
 
-def _thirds(rows: DataFrame) -> DataFrame:
-    """(key, part, fp): members of full buckets by the thirds of the segment that `key` doesn't show."""
-    upper = F.shiftrightunsigned("key", 37) == 1  # the segment that the key shows
-    other = F.when(upper, F.col("fp")).otherwise(F.shiftrightunsigned("fp", 32))
-    parts = [other.bitwiseAND(F.lit(((1 << n) - 1) << at)).bitwiseOR(F.lit(k << 32)) for k, (at, n) in enumerate(((0, 11), (11, 11), (22, 10)))]
-    return rows.select("key", F.explode(F.array(*parts)).alias("part"), "fp")
+def _parts(rows: DataFrame) -> DataFrame:
+    """(key, part, fp): members of full buckets by halves or thirds of what `key` doesn't show."""
+
+    def cut(segment, *pieces):
+        return F.array(*[segment.bitwiseAND(F.lit(((1 << n) - 1) << at)).bitwiseOR(F.lit(k << 32)) for k, (at, n) in enumerate(pieces)])
+
+    kind, upper, lower = F.shiftrightunsigned("key", 32), F.shiftrightunsigned("fp", 32), F.col("fp")
+    thirds = ((0, 11), (11, 11), (22, 10))
+    parts = F.when(kind < UPPER, cut(lower, (0, 16), (16, 16))).when(kind == UPPER, cut(lower, *thirds)).otherwise(cut(upper, *thirds))
+    return rows.select("key", F.explode(parts).alias("part"), "fp")
 
 
 def _cliques(fps: DataFrame) -> DataFrame:
@@ -130,11 +139,11 @@ def links(fps: DataFrame) -> DataFrame:
     C.free_shuffles(spark)
     full = C.checked_broadcast(buckets.where("n > 2").select("key"))
     inside = C.settle(rows.join(full, "key", "left_semi"), "simhash-inside")
-    thirds = _thirds(inside)
-    split = C.settle(_ends(thirds, "key", "part"), "simhash-split")
+    parts = _parts(inside)
+    split = C.settle(_ends(parts, "key", "part"), "simhash-split")
     C.free_shuffles(spark)
     still = C.checked_broadcast(split.where("n > 2").select("key", "part"))
-    crowded = C.settle(thirds.join(still, ["key", "part"], "left_semi").select("fp").distinct(), "simhash-crowded")
+    crowded = C.settle(parts.join(still, ["key", "part"], "left_semi").select("fp").distinct(), "simhash-crowded")
     pairs = buckets.where(near).select("a", "b").unionByName(split.where(near).select("a", "b"))
     return pairs.unionByName(_cliques(crowded.repartition(width, "fp"))).distinct()
 
