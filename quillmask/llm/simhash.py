@@ -14,9 +14,11 @@ buckets, of which a large corpus has many by chance, are split by further bits:
 that differ in the variant's bit differ in at most one of the lower segment and agree on
 one of its halves; members of one whole segment agree on one of the other's thirds. They
 are bucketed again by those. What is still in buckets of more than two then shares 42 bits
-or more and is truly crowded: these few fingerprints are listed under all their variants
-with two bits left out, where a bucket holds at most four, all of them links. So every link
-is found whatever the size of the buckets, and no bucket is gathered or paired up.
+or more and is truly crowded, as the near copies of one text are: these few fingerprints
+are listed under themselves and their 64 variants with one bit turned, since two of them
+differ in at most two bits if and only if they share such a variant, and each list is
+linked to its least member. So every link is found whatever the size of the buckets, and
+no bucket is gathered or paired up.
 
 Defined cases: a text without words (null included) has fingerprint zero and is linked
 like any other; every row is a document of its own, equal ids included; a null id never
@@ -117,14 +119,12 @@ def _parts(rows: DataFrame) -> DataFrame:
     return rows.select("key", F.explode(parts).alias("part"), "fp")
 
 
-def _cliques(fps: DataFrame) -> DataFrame:
-    """Edges from the least member of each bucket of variants with two bits left out."""
-    masks = [~(1 << i | 1 << j) for i in range(64) for j in range(i)]
-    signed = F.array(*[F.lit(((m + (1 << 63)) % (1 << 64)) - (1 << 63)) for m in masks])
-    rows = fps.select("fp", F.explode(signed).alias("mask"))
-    members = F.array_sort(F.collect_set("fp"))  # at most four agree in 62 bits
-    lists = rows.groupBy("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("rest")).agg(members.alias("m")).where(F.size("m") > 1)
-    return lists.select(F.col("m")[0].alias("a"), F.explode(F.slice("m", 2, 3)).alias("b"))
+def _stars(fps: DataFrame) -> DataFrame:
+    """Edges from the least of the fingerprints that share a variant with at most one bit turned."""
+    turned = [F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for b in range(64)]
+    rows = fps.select("fp", F.explode(F.array(F.col("fp"), *turned)).alias("m"))
+    shared = rows.groupBy("m").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("m", "a")
+    return rows.join(shared, "m").where("fp != a").select("a", F.col("fp").alias("b"))
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def links(fps: DataFrame) -> DataFrame:
     still = C.checked_broadcast(split.where("n > 2").select("key", "part"))
     crowded = C.settle(parts.join(still, ["key", "part"], "left_semi").select("fp").distinct(), "simhash-crowded")
     pairs = buckets.where(near).select("a", "b").unionByName(split.where(near).select("a", "b"))
-    return pairs.unionByName(_cliques(crowded.repartition(width, "fp"))).distinct()
+    return pairs.unionByName(_stars(crowded.repartition(width, "fp"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n_words: int = WORDS) -> DataFrame:
