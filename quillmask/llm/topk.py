@@ -127,7 +127,8 @@ class Block:
 
 def accumulate(queries: np.ndarray, candidates: Block) -> np.ndarray:
     """Scores (candidates, queries) of queries, the columns of an array, one component after the
-    other: its weights are scattered over its postings. A list of all rows is taken as a slice."""
+    other: the weights that queries have there are scattered over its postings, if any has one. A
+    list of all rows is taken as a slice."""
     dim, n = min(len(queries), candidates.dim), len(candidates.ids)
     kind = np.int32 if float(np.abs(queries).max(initial=0)) * candidates.top * max(1, dim) < 2**31 else np.int64
     queries = queries.astype(kind)
@@ -135,16 +136,11 @@ def accumulate(queries: np.ndarray, candidates: Block) -> np.ndarray:
     spare = np.empty_like(scores)
     for t in range(dim):
         a, b = candidates.heads[t], candidates.heads[t + 1]
-        asked = np.flatnonzero(queries[t])
-        if a == b or not len(asked):
+        if a == b or not queries[t].any():
             continue
         weights = candidates.weights[a:b].astype(kind)
         postings = candidates.at[a:b] if b - a < n else slice(None)
-        if len(asked) == queries.shape[1]:
-            scores[postings] += np.multiply.outer(weights, queries[t], out=spare[: b - a])
-        else:
-            at = np.ix_(candidates.at[a:b], asked)
-            scores[at] += np.multiply.outer(weights, queries[t, asked])
+        scores[postings] += np.multiply.outer(weights, queries[t], out=spare[: b - a])
     return scores
 
 
