@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .operators import images as pictures
 from .operators import links as link_ops
-from .plans.engine import Engine
+from .plans.engine import Engine, release
 from .policy import ALL_LABELS, Policy
 from .sources import docx, files
 
@@ -83,6 +83,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     if a.detections:
         files.detections_csv(tables["audit"], decisions).write.mode("overwrite").option("header", True).csv(a.detections)
     total = tables["report"].agg(F.sum("blocks").alias("blocks"), F.sum("blocks_changed").alias("changed"), F.sum("detections").alias("detections")).first()
+    release(tables)
     refused = [r.doc_id for r in docx.refused(docx.found(spark, a.input), None).collect()]
     return {"documents": written, "refused": sorted(refused), **total.asDict()}
 

@@ -6,6 +6,7 @@ built-in higher-order functions, so it stays in the JVM and in one projection.""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,30 +22,42 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def find(text: Column, pattern: str, group: int = 0) -> Column:
+#: Matches of a part, where they are many.
+PART = 64
+
+
+def find(text: Column, pattern: str, group: int = 0, many: bool = False) -> Column:
     """All matches of pattern as array<struct<start,end,text>>, like a left-to-right search.
 
     Spark has no such function; the pieces between the matches (split) and the matches
-    (extract_all) are added up to offsets. A group must end where the match ends."""
+    (extract_all) are added up to offsets. A group must end where the match ends. many: for
+    patterns that match all over a text, in parts, so that cost grows with their number."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     gaps = F.split(text, pattern, -1)
     empty = F.array().cast(f"array<{HIT}>")
 
-    def fold(parts: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
+    def fold(parts: Column, begin: Column) -> Column:
         def step(acc: Column, p: Column) -> Column:
             end = (acc.at + F.length(p.gap) + F.length(p.whole)).cast("int")
             hit = F.struct((end - F.length(p.inner)).cast("int").alias("start"), end.alias("end"), p.inner.alias("text"))
             return F.struct(end.alias("at"), F.concat(acc.out, F.array(hit)).alias("out"))
 
-        return F.aggregate(parts, start, step, lambda acc: acc.out)
+        return F.aggregate(parts, F.struct(begin.cast("int").alias("at"), empty.alias("out")), step, lambda acc: acc.out)
+
+    def by_parts(ps: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(ps) - 1) / PART).cast("int")), lambda k: F.slice(ps, k * PART + 1, PART))
+        size = lambda qs: F.aggregate(qs, F.lit(0), lambda n, q: n + F.length(q.gap) + F.length(q.whole))
+        sums = lambda cs: F.aggregate(
+            F.transform(cs, size), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))
+        )
+        return let(cut, lambda cs: let(sums(cs), lambda at: F.flatten(F.transform(cs, lambda c, k: fold(c, F.get(at, k))))))
 
     parts = F.filter(
         F.transform(F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), inner.alias("inner")), lambda p: p), lambda p: p.whole.isNotNull()
     )
-    return F.when(text.rlike(pattern), fold(parts)).otherwise(empty)
+    hits = let(parts, by_parts) if many else fold(parts, F.lit(0))
+    return F.when(text.rlike(pattern), hits).otherwise(empty)
 
 
 def label(hits: Column, label_: str, source: str, score: float, ord_: int) -> Column:
@@ -105,24 +118,51 @@ def splice(text: Column, edits: Column) -> Column:
     return F.when(F.size(edits) == 0, text).otherwise(build(edits))
 
 
-def write_back(pieces: Column, edits: Column) -> Column:
-    """pieces array<struct<text,editable>> of a block with edits made: a replacement goes into the
-    first editable piece that its span touches, later ones lose what the span covers, and
-    pieces that aren't editable stay."""
+def piece_after(text: str, at: int, edits: list[tuple[int, int, str]], owners: dict[int, int], index: int) -> str:
+    """A piece that begins at `at` of its block, with edits (ascending) made: what replaces a span
+    goes into the piece that owns it, the first editable one that it touches (owners), and
+    every piece loses what spans cover."""
+    out, place = [], 0
+    for k, (start, end, new) in enumerate(edits):
+        lo, hi = max(0, start - at), min(len(text), end - at)
+        if lo < hi:
+            out += [text[place:lo], new if owners.get(k) == index else ""]
+            place = hi
+    return "".join([*out, text[place:]])
 
-    def one(ps: Column, e: Column) -> Column:
-        begin = F.struct(F.lit(0).alias("at"), F.lit(True).alias("first"), F.array().cast("array<struct<text:string,editable:boolean>>").alias("out"))
 
-        def step(acc: Column, p: Column) -> Column:
-            lo, hi = acc.at, acc.at + F.length(p.text)
-            touched = p.editable & (lo < e.end) & (e.start < hi)
-            head = F.when(acc.first, F.substring(p.text, F.lit(1), F.greatest(e.start - lo, F.lit(0)))).otherwise(F.lit(""))
-            tail = F.when(e.end <= hi, F.substring(p.text, e.end - lo + 1, F.length(p.text))).otherwise(F.lit(""))
-            new = F.concat(head, F.when(acc.first, e.replacement).otherwise(F.lit("")), tail)
-            piece = F.struct(F.when(touched, new).otherwise(p.text).alias("text"), p.editable.alias("editable"))
-            return F.struct(hi.cast("int").alias("at"), (acc.first & ~touched).alias("first"), F.concat(acc.out, F.array(piece)).alias("out"))
-
-        return F.aggregate(ps, begin, step, lambda acc: acc.out)
-
-    # from the right, so that places to the left stay
-    return F.aggregate(F.reverse(edits), pieces, one)
+def owners_of(pieces: list[tuple[str, bool]], edits: list[tuple[int, int, str]]) -> dict[int, int]:
+    """Edit to the first editable piece that it touches."""
+    out, at = {}, 0
+    for i, (text, editable) in enumerate(pieces):
+        for k, (start, end, _) in enumerate(edits if editable else ()):
+            if start < at + len(text) and at < end:
+                out.setdefault(k, i)
+        at += len(text)
+    return out
+
+
+def written(pieces: list[tuple[str, bool]], edits: list[tuple[int, int, str]]) -> list[str]:
+    """The texts of pieces (text, editable) of a block with edits made; pieces that aren't editable
+    stay."""
+    edits, out, at = sorted(edits), [], 0
+    owners = owners_of(pieces, edits)
+    for i, (text, editable) in enumerate(pieces):
+        out.append(piece_after(text, at, edits, owners, i) if editable else text)
+        at += len(text)
+    return out
+
+
+def _written_batch(pieces: pd.Series, edits: pd.Series) -> pd.Series:
+    def one(ps, es):
+        if ps is None:
+            return None
+        texts = written([(p["text"], p["editable"]) for p in ps], [(e["start"], e["end"], e["replacement"]) for e in (() if es is None else es)])
+        return [{"text": t, "editable": p["editable"]} for t, p in zip(texts, ps)]
+
+    return pd.Series([one(*r) for r in zip(pieces, edits)])
+
+
+def write_back(pieces: Column, edits: Column) -> Column:
+    """pieces array<struct<text,editable>> of a block with edits made, as written() does."""
+    return F.pandas_udf(_written_batch, "array<struct<text:string,editable:boolean>>")(pieces, edits)

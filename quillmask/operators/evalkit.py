@@ -163,11 +163,14 @@ def image_leaks(mapping: DataFrame, recovered: DataFrame) -> DataFrame:
 
 def reidentification(terms: DataFrame, texts: DataFrame, text: str = "text") -> DataFrame:
     """(severity, anchor, term, hits) with subtotals (rollup) of whole-word, case-insensitive
-    counts. terms (severity, anchor, term) is a hand-made list; it is broadcast."""
-    words = F.transform(F.split(F.btrim("term"), r"(?U)\s+"), lambda w: F.regexp_replace(w, r"([\\\.\[\]\{\}\(\)\*\+\-\?\^\$\|\/&#~])", r"\\$1"))
-    keyed = terms.withColumn("pattern", F.concat(F.lit(r"(?iU)\b"), F.array_join(words, r"\s+"), F.lit(r"\b")))
-    hits = texts.select(F.col(text).alias("body")).join(F.broadcast(keyed))
-    each = hits.groupBy("severity", "anchor", "term").agg(F.sum(F.regexp_count("body", F.col("pattern"))).alias("hits"))
+    counts. terms (severity, anchor, term) is a hand-made list."""
+    listed = terms.select("severity", "anchor", "term").distinct().orderBy("severity", "anchor", "term").collect()
+    if not listed:
+        return terms.select("severity", "anchor", "term", F.lit(0).cast("long").alias("hits")).limit(0)
+    # one pass over the texts counts every term
+    counted = texts.agg(*[F.sum(F.regexp_count(text, F.lit(rf"(?iU)\b{literal_pattern(r.term)}\b"))).alias(f"n{k}") for k, r in enumerate(listed)])
+    rows = [F.struct(*[F.lit(r[c]).alias(c) for c in ("severity", "anchor", "term")], F.coalesce(f"n{k}", F.lit(0)).alias("hits")) for k, r in enumerate(listed)]
+    each = counted.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     return each.rollup("severity", "anchor", "term").agg(F.sum("hits").alias("hits"))
 
 

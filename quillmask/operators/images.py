@@ -227,6 +227,3 @@ def replacement_name(inside: Column, around: Column, label: str) -> Column:
     (first person around) carries; from span arrays."""
     first = lambda spans, kind: F.get(F.filter(spans, lambda s: s.label == kind), F.lit(0)).text
     return F.coalesce(first(inside, "ORG"), first(around, "ORG")) if label == "IMAGE_LOGO" else first(around, "PERSON")
-
-
-__all__ = ["S", "action", "analyse", "classify", "decide", "labels_in", "picture_size", "placeholder", "replacement_name", "summary"]

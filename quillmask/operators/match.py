@@ -1,8 +1,8 @@
 """Pass 2: the lexicon of a document found in all of its blocks.
 
 A document's aliases and places are gathered to one array (bounded by its lexicon, not by
-its text) and joined to its blocks; an Arrow UDF keeps a compiled pattern per lexicon, so
-every block is one left-to-right scan with the longest alias first."""
+its text) and joined to its blocks. Only blocks that hold the first word of a name are sent
+to an Arrow UDF, with the names; the others travel as null, and so do their names. The UDF is one left-to-right scan with the longest name first."""
 
 from __future__ import annotations
 
@@ -22,68 +22,70 @@ from .learn import accepts
 
 JOIN_LIMIT = 400
 
-# Names and honorifics before a match, and a postal code after a place.
-_GIVEN = re.compile(r"(?:[A-Z][a-z'’\-]{1,20}|[A-Z]\.)(?:\s+(?:[A-Z][a-z'’\-]{1,20}|[A-Z]\.))*\s+$")
-_HONORIFIC = re.compile(r"(?i)(?:mr|mrs|ms|dr|shri|smt|prof|justice)\.?\s+$")
-_PIN = re.compile(r"\s*[–—-]?\s*\d{3}\s?\d{3}(?!\d)")
-LOOK_BACK = 60
+# Given names, honorifics, and a postal code after a place.
+_GIVEN = r"(?:[A-Z][a-z'’\-]{1,20}|[A-Z]\.)"
+_HONORIFIC = r"(?i:mr|mrs|ms|dr|shri|smt|prof|justice)\.?"
+_CODE = r"\s*[–—-]?\s*\d{3}\s?\d{3}(?!\d)"
 GIVEN_NAMES = 3
 
 
-@lru_cache(maxsize=256)
-def _pattern(names: tuple[str, ...], exact: bool = False) -> re.Pattern | None:
-    """Any of the names, the longest first; blanks inside a name may be missing."""
-    parts = [re.escape(n.upper()) if exact else r"\s*".join(map(re.escape, n.split())) for n in sorted(names, key=len, reverse=True)]
-    return re.compile(rf"(?<![\w@.])({'|'.join(parts)})(?![\w])", 0 if exact else re.IGNORECASE) if parts else None
+def _any(names, blank: str = r"\s+") -> str:
+    """Any of the names, the longest first."""
+    return "|".join(blank.join(map(re.escape, n.split())) for n in sorted(names, key=len, reverse=True))
 
 
-def _begin(text: str, start: int) -> int:
-    """Where a person's name begins, given names and initials before it included."""
-    m = _GIVEN.search(text[max(0, start - LOOK_BACK) : start])
-    if not m:
-        return start
-    words = m[0].split()
-    run = m[0] if len(words) <= GIVEN_NAMES else " ".join(words[-GIVEN_NAMES:]) + " "
-    run = _HONORIFIC.sub("", run)
-    return start - len(run) if run.strip() else start
+@lru_cache(maxsize=256)
+def _scanner(names: tuple[str, ...], kind: str) -> re.Pattern | None:
+    """A pattern for names of a kind, with what belongs to them: a person's name takes in up to
+    GIVEN_NAMES given names and initials before it, but no honorific right before it; a place takes
+    in its postal code, and its own blanks may be missing. Acronyms are matched in capitals alone."""
+    if not names:
+        return None
+    if kind == "ACRONYM":
+        return re.compile(rf"(?<![\w@.])(?P<name>{_any([n.upper() for n in names])})(?!\w)")
+    blank = r"\s*" if kind == "PLACE" else r"\s+"
+    name = rf"(?<![\w@.])(?P<name>(?i:{_any(names, blank)}))(?!\w)"
+    if kind == "PERSON":
+        last = rf"(?!{_HONORIFIC}\s){_GIVEN}\s+"
+        return re.compile(rf"(?:(?<!\w)(?:{_GIVEN}\s+){{0,{GIVEN_NAMES - 1}}}{last})?{name}")
+    return re.compile(name + (rf"(?:{_CODE})?" if kind == "PLACE" else ""))
+
+
+def _hits(text: str, names: tuple[str, ...], kind: str):
+    """Matches of names that don't stand in lower case."""
+    pattern = _scanner(names, kind)
+    return [m for m in pattern.finditer(text) if not m["name"].islower()] if pattern else []
 
 
 def alias_spans(text: str, aliases: dict[str, str]) -> list[tuple[int, int, str, str, float]]:
     """(start, end, kind, source, score) of aliases (lower case -> kind) in a text."""
-    names = tuple(aliases)
-    found = []
-    for pattern, source in (
-        (_pattern(names), "gazetteer"),
-        (_pattern(tuple(n for n in names if 3 <= len(n) <= 4), True), "gazetteer:acronym"),
-    ):
-        for m in pattern.finditer(text) if pattern else ():
-            kind = aliases.get(py_clean(m[1]).lower())
-            if kind is None or m[1].islower():
-                continue
-            start = _begin(text, m.start(1)) if kind == "PERSON" else m.start(1)
-            found.append((start, m.end(1), kind, source, 0.95))
-    return found
+    by_kind: dict[str, list[str]] = {}
+    for name, kind in aliases.items():
+        by_kind.setdefault(kind, []).append(name)
+    out = [(m.start(), m.end(), kind, "gazetteer", 0.95) for kind, names in by_kind.items() for m in _hits(text, tuple(names), kind)]
+    for kind, names in by_kind.items():
+        short = tuple(n for n in names if 3 <= len(n) <= 4)
+        out += [(m.start(), m.end(), kind, "gazetteer:acronym", 0.95) for m in _hits(text, short, "ACRONYM")]
+    return out
 
 
 def place_spans(text: str, places: tuple[str, ...]) -> list[tuple[int, int, str, str, float]]:
-    out = []
-    pattern = _pattern(places)
-    for m in pattern.finditer(text) if pattern else ():
-        if not m[1].islower():
-            pin = _PIN.match(text, m.end(1))
-            out.append((m.start(1), pin.end() if pin else m.end(1), "LOCATION", "gazetteer:place", 0.9))
-    return out
+    return [(m.start(), m.end(), "LOCATION", "gazetteer:place", 0.9) for m in _hits(text, places, "PLACE")]
 
 
 def per_document(lexicon: DataFrame) -> DataFrame:
-    """(lex_doc, aliases, places, people, orgs): a row a document."""
+    """(lex_doc, aliases, places, people, orgs, firsts): a row a document; firsts is a pattern of the
+    first words of all names."""
     alias = F.col("kind").startswith("ALIAS:")
-    return lexicon.groupBy(F.col("doc_id").alias("lex_doc")).agg(
+    listed = lexicon.groupBy(F.col("doc_id").alias("lex_doc")).agg(
         F.array_sort(F.collect_list(F.when(alias, F.struct("alias", F.substring("kind", 7, 10).alias("kind"))))).alias("aliases"),
         F.array_sort(F.collect_list(F.when(F.col("kind") == "PLACE", F.col("name")))).alias("places"),
         F.array_sort(F.collect_list(F.when(F.col("kind") == "PERSON", F.col("key")))).alias("people"),
         F.array_sort(F.collect_list(F.when(F.col("kind") == "ORG", F.col("key")))).alias("orgs"),
     )
+    first = lambda name: F.concat(F.lit("\\Q"), F.substring_index(name, " ", 1), F.lit("\\E"))
+    words = F.array_distinct(F.concat(F.transform("aliases", lambda a: first(a["alias"])), F.transform("places", first)))
+    return listed.withColumn("firsts", F.when(F.size(words) > 0, F.concat(F.lit("(?iu)"), F.array_join(words, "|"))))
 
 
 def _match_batches(policy: Policy, tagged: bool):
@@ -112,12 +114,16 @@ def _match_batches(policy: Policy, tagged: bool):
     return run
 
 
-def matches(text: Column, joined: bool = False, policy: Policy | None = None, tagged: bool = False) -> Column:
+def matches(text: Column, policy: Policy | None = None, tagged: bool = False) -> Column:
     """Lexicon spans of blocks joined with per_document()."""
     none = F.lit(None).cast("array<struct<start:int,end:int,label:string,text:string>>")
-    columns = [text, F.col("aliases"), F.col("places"), F.col("people"), F.col("orgs"), F.col("tagged") if tagged else none]
+    some = F.rlike(text, F.col("firsts"))
+    if tagged:  # what the tagger found is judged by the whole lexicon
+        some = F.coalesce(some, F.lit(False)) | (F.coalesce(F.size("tagged"), F.lit(0)) > 0)
+    columns = [F.when(some, text), F.when(some, F.col("aliases")), F.when(some, F.col("places"))]
+    columns += [F.col(c) if tagged else F.lit(None).cast("array<string>") for c in ("people", "orgs")]
+    columns += [F.col("tagged") if tagged else none]
     columns += [F.col(c) if tagged else F.lit(None).cast("array<string>") for c in ("common", "tagged_places")]
-    columns[0] = F.when((F.size("aliases") > 0) | (F.size("places") > 0) | F.lit(tagged), text)
     return F.pandas_udf(_match_batches(policy or Policy(), tagged), S.SPANS)(*columns)
 
 

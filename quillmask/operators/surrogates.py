@@ -15,7 +15,6 @@ from ..functions.checks import digits, luhn_digit
 from ..functions.spans import let
 from ..functions.text import normalise, squeeze
 from ..policy import Policy
-from .learn import COMPANY_END
 
 SEP = "␟"
 
@@ -346,6 +345,3 @@ def tags(values: DataFrame, scope: str = "doc_id") -> DataFrame:
     firsts = values.groupBy(scope, "label", normalise(F.col("text")).alias("norm")).agg(F.min("at").alias("at"))
     n = F.row_number().over(Window.partitionBy(scope, "label").orderBy("at", "norm"))
     return firsts.select(scope, "label", "norm", F.concat(F.lit("["), F.col("label"), F.lit("_"), n.cast("string"), F.lit("]")).alias("tag"))
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["COMPANY_END"]

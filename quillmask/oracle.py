@@ -1,13 +1,14 @@
 """SQL for the queries that have an equivalent in DuckDB: generators and fixed statements.
 
-RE2 knows neither look-around nor Unicode classes; it agrees with our patterns on texts
-where no letter with an accent touches a boundary of a match."""
+RE2 knows neither look-around nor Unicode boundaries. So patterns, spelled out here anew, run
+over a folded text, in which every letter, mark and digit beyond ASCII is one underscore and
+every space one blank: boundaries fall where Unicode has them, places stay, and values are
+cut from the text itself."""
 
 from __future__ import annotations
 
 from .functions import lexicons as L
-from .operators.detectors import DETECTORS, Detector
-from .policy import TEXT_PRIORITY, Policy
+from .policy import Policy
 
 SEED = Policy.seed
 SEP = "␟"
@@ -28,8 +29,10 @@ def values(columns: list[tuple[str, str]], rows: list[tuple]) -> str:
     return f"SELECT {cast} FROM (VALUES {body}) AS t({', '.join(n for n, _ in columns)})"
 
 
-def re2(pattern: str) -> str:
-    return quoted(pattern.replace("(?iU)", "(?i)").replace("(?U)", ""))
+def folded(text: str) -> str:
+    for kept, sign in (("L", "_"), ("M", "_"), ("Nd", "_"), ("Z", " ")):
+        text = f"regexp_replace({text}, '[^\\x00-\\x7F\\P{{{kept}}}]', '{sign}', 'g')"
+    return text
 
 
 DIGITS = "regexp_replace({x}, '\\D', '', 'g')"
@@ -40,39 +43,64 @@ LUHN = (
 )
 _D = DIGITS.format(x="value")
 _PHONE = f"length({_D}) BETWEEN 8 AND 15"
-KEEP = {
-    "regex:phone-anchored": _PHONE,
-    "regex:phone-intl": f"{_PHONE} AND (starts_with(ltrim(value), '+') OR (length({_D}) = 10 AND substr({_D}, 1, 1) IN ('6','7','8','9')))",
-    "regex:phone-us": f"{_PHONE} AND (starts_with(ltrim(value), '+') OR length({_D}) = 10)",
-    "regex:phone-in-mobile": f"{_PHONE} AND length({_D}) = 10 AND substr({_D}, 1, 1) IN ('6','7','8','9')",
-    "regex:card+luhn": f"length({_D}) BETWEEN 13 AND 19 AND " + LUHN.format(d=_D),
-    "regex:ipv4": "len(list_filter(string_split(value, '.'), lambda p: CAST(p AS INTEGER) > 255 OR (p <> '0' AND starts_with(p, '0')))) = 0",
+_LONG = f"length({_D}) BETWEEN 13 AND 19 AND " + LUHN.format(d=_D)
+_V4 = "len(list_filter(string_split(value, '.'), lambda p: CAST(p AS INTEGER) > 255 OR (p <> '0' AND starts_with(p, '0')))) = 0"
+_INDIAN = f"length({_D}) = 10 AND substr({_D}, 1, 1) IN ('6','7','8','9')"
+_PLUS = "starts_with(ltrim(value), '+')"
+_SSN = "substr(value, 1, 3) NOT IN ('000', '666') AND substr(value, 1, 1) <> '9' AND substr(value, 5, 2) <> '00' AND substr(value, 8) <> '0000'"
+_NO = "\\s*(?:no\\.?|number)?\\s*"
+# source: order, label, score, pattern, group, condition on value, condition on text
+DETECTORS = {
+    "regex:email": (0, "EMAIL", 1.0, r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", 0, None, None),
+    "regex:url": (1, "URL", 0.9, r"""\b(?:https?://|www\.)[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?:/[^\s,;)"']*)?""", 0, None, None),
+    "regex:phone-anchored": (3, "PHONE", 1.0, r"(?i)\b(?:tel|telephone|phone|mobile|mob|fax|contact\s*no|contact\s*number|helpline)\b" + _NO + r"[:.\-]?\s*([+\d][\d\s\-().]{6,20}\d)", 1, _PHONE, None),
+    "regex:phone-intl": (4, "PHONE", 0.9, r"\+\s?\d{1,3}[\s\-.]?(?:\(?\d{2,5}\)?[\s\-.]?){1,4}\d{2,5}", 0, f"{_PHONE} AND ({_PLUS} OR ({_INDIAN}))", None),
+    "regex:phone-us": (5, "PHONE", 0.9, r"\(?\b\d{3}\)?[\s\-.]\d{3}[\s\-.]\d{4}\b", 0, f"{_PHONE} AND ({_PLUS} OR length({_D}) = 10)", None),
+    "regex:phone-in-mobile": (6, "PHONE", 0.9, r"\b[6-9]\d{4}[\s\-]?\d{5}\b", 0, f"{_PHONE} AND {_INDIAN}", None),
+    "regex:ssn": (7, "SSN", 1.0, r"\b\d{3}[-\s]\d{2}[-\s]\d{4}\b", 0, _SSN, None),
+    "regex:card+luhn": (8, "CREDIT_CARD", 1.0, r"\b(?:\d[ -]?){12,18}\d\b", 0, _LONG, None),
+    "regex:ipv4": (9, "IP_ADDRESS", 1.0, r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", 0, _V4, None),
+    "regex:ipv6": (10, "IP_ADDRESS", 0.8, r"\b(?:[0-9A-Fa-f]{1,4}:){2,7}[0-9A-Fa-f]{1,4}\b", 0, None, None),
+    "regex:pan": (11, "NATIONAL_ID", 1.0, r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", 0, None, None),
+    "regex:cin": (12, "NATIONAL_ID", 1.0, r"\b[LU][0-9]{5}[A-Z]{2}[0-9]{4}[A-Z]{3}[0-9]{6}\b", 0, None, None),
+    "regex:sebi-reg": (13, "NATIONAL_ID", 1.0, r"\bIN[A-Z][0-9]{9}\b", 0, None, None),
+    "regex:ifsc": (14, "NATIONAL_ID", 1.0, r"\b[A-Z]{4}0[A-Z0-9]{6}\b", 0, None, None),
+    "regex:gstin": (15, "NATIONAL_ID", 1.0, r"\b[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][A-Z0-9]Z[A-Z0-9]\b", 0, None, None),
+    "regex:din": (16, "NATIONAL_ID", 1.0, r"(?i)\bDIN\s*[:\-]?\s*([0-9]{8})\b", 1, None, None),
+    "regex:firm-registration": (17, "NATIONAL_ID", 1.0, r"(?i)\b(?:firm\s+)?registration" + _NO + r"[:\-]?\s*([0-9]{6}[A-Z](?:\s*/\s*[A-Z]?[0-9]{6})?)\b", 1, None, None),
+    "regex:registration-number": (18, "NATIONAL_ID", 0.95, r"(?i)\b(?:registration|regn\.?|reg\.?|licen[cs]e|membership)" + _NO + r"[:\-]?\s*([A-Z]{0,3}[-/]?[0-9]{5,8}[A-Z]?)\b", 1, None, None),
+    "regex:passport": (19, "NATIONAL_ID", 1.0, r"(?i)\bpassport" + _NO + r"[:\-]?\s*([A-PR-WY][0-9]{7})\b", 1, None, None),
+    "regex:aadhaar": (20, "NATIONAL_ID", 0.9, r"\b[2-9][0-9]{3}\s?[0-9]{4}\s?[0-9]{4}\b", 0, None, r"(?i)\b(?:aadhaar|aadhar|uidai)\b"),
+    "regex:bank-account": (21, "BANK_ACCOUNT", 0.9, r"(?i)\b(?:a/c|ac|account)" + _NO + r"[:\-]?\s*([0-9][0-9\s\-]{7,20}[0-9])\b", 1, None, None),
 }
-
-
-def detector(source: str) -> tuple[int, Detector]:
-    k = next(k for k, d in enumerate(DETECTORS) if d.source == source)
-    return (k if k < 2 else k + 1), DETECTORS[k]
+#: Which label wins between spans of equal length.
+PRIORITY = {
+    "CREDIT_CARD": 100, "SSN": 100, "IP_ADDRESS": 95, "EMAIL": 90, "NATIONAL_ID": 85, "BANK_ACCOUNT": 85, "PHONE": 80, "URL": 75, "DOB": 70,
+    "ADDRESS": 60, "PERSON": 50, "ORG": 40, "LOCATION": 30,
+}
 
 
 def hits(source: str, table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
     """doc_id, start, stop, value, label, source, score, ord of one detector."""
-    ord_, d = detector(source)
-    p, sums = re2(d.pattern), "list_sum(list_transform({}, lambda x: length(x)))"
+    ord_, label, score, pattern, group, keep, when = DETECTORS[source]
+    p, sums = quoted(pattern), "list_sum(list_transform({}, lambda x: length(x)))"
     end = f"{sums.format('g[1:i]')} + {sums.format('h[1:i]')}"
-    keep = f" WHERE {KEEP[source]}" if source in KEEP else ""
-    return (
-        f"SELECT * FROM (SELECT {key} AS doc_id, CAST({end} - length(v[i]) AS INTEGER) AS start, CAST({end} AS INTEGER) AS stop, v[i] AS value, "
-        f"'{d.label}' AS label, '{d.source}' AS source, CAST({d.score} AS DOUBLE) AS score, {ord_} AS ord FROM "
-        f"(SELECT *, unnest(range(1, len(h) + 1)) AS i FROM (SELECT {key}, regexp_extract_all({text}, {p}) AS h, "
-        f"regexp_extract_all({text}, {p}, {d.group}) AS v, regexp_split_to_array({text}, {p}) AS g FROM {table})))" + keep
+    there = f" WHERE regexp_matches(f, {quoted(when)})" if when else ""
+    value = f"substr(t, CAST({end} - length(v[i]) + 1 AS BIGINT), length(v[i]))"
+    rows = (
+        f"SELECT doc_id, CAST({end} - length(v[i]) AS INTEGER) AS start, CAST({end} AS INTEGER) AS stop, {value} AS value, "
+        f"'{label}' AS label, '{source}' AS source, CAST({score} AS DOUBLE) AS score, {ord_} AS ord FROM "
+        f"(SELECT *, unnest(range(1, len(h) + 1)) AS i FROM (SELECT doc_id, t, regexp_extract_all(f, {p}) AS h, "
+        f"regexp_extract_all(f, {p}, {group}) AS v, regexp_split_to_array(f, {p}) AS g FROM "
+        f"(SELECT {key} AS doc_id, {text} AS t, {folded(text)} AS f FROM {table}){there}))"
     )
+    return f"SELECT * FROM ({rows})" + (f" WHERE {keep}" if keep else "")
 
 
 def merged(sources: list[str], table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
     """doc_id, s (struct) of the spans that stay after merging."""
     union = " UNION ALL ".join(hits(s, table, key, text) for s in sources)
-    rank = "CASE label " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in TEXT_PRIORITY.items()) + " END"
+    rank = "CASE label " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in PRIORITY.items()) + " END"
     item = "{'start': start, 'stop': stop, 'value': value, 'label': label, 'source': source, 'score': score}"
     fold = (
         "list_reduce(list_prepend([x[1:0]][1], list_transform(x, lambda e: [e])), lambda kept, e: "
@@ -83,7 +111,8 @@ def merged(sources: list[str], table: str = "documents", key: str = "doc_id", te
     )
 
 
-MAIN = ["regex:email", "regex:url", "regex:phone-anchored", "regex:phone-intl", "regex:phone-us", "regex:phone-in-mobile", "regex:card+luhn", "regex:ipv4", "regex:ipv6"]
+#: All detectors of structured values.
+MAIN = list(DETECTORS)
 
 
 def stream(kind: str, value: str) -> str:

@@ -3,14 +3,18 @@
     blocks(doc_id, block_id, part, section, text)
       -> lexicon (learn.learn)                          pass 1: grouped by document
       -> spans   (detectors + lexicon matches, merged)  pass 2: one projection
-      -> mapping (a row a distinct value)               surrogates
-      -> redacted blocks, audit rows, report
+      -> edits   (what replaces each span)              surrogates, in the same projection
+      -> redacted blocks, mapping and audit rows, report
 
-Documents are independent: every shuffle is by doc_id. Spans stay arrays on their block
-until an audit needs them as rows."""
+Documents are independent: every shuffle is by doc_id. Spans and edits stay arrays on their
+block until a mapping or an audit needs them as rows. Without a lexicon an invented value
+depends on its span alone, so text is never shuffled to meet its own edits; with one, and
+for numbered tags, a document's distinct values are replaced and joined to its spans."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -21,6 +25,13 @@ from ..operators import detectors, learn, match, surrogates
 from ..policy import Policy
 
 TAGGED = "array<struct<start:int,end:int,label:string,text:string>>"
+EDITS = "array<struct<start:int,end:int,replacement:string>>"
+CONTEXT = {
+    "surnames": "array<string>", "firsts": "array<string>", "domains": "map<string,string>", "companies": "map<string,string>",
+    "place_map": "map<string,string>", "indian": "boolean",
+}
+#: Names that a lexicon shared by several documents may have: its aliases travel with the blocks that hold them.
+SCOPE_NAMES = 200_000
 LABELLED = r"(?iU)birth|d\.?o\.?b|aadhaar|aadhar|uidai|passport|account|a/?c|din|registration|licen[cs]e|membership|phone|mobile|fax|tel"
 
 
@@ -94,48 +105,63 @@ class Engine:
             both = both.join(seen, both.doc_id == seen.place_doc, "left").drop("place_doc")
         spans = F.concat(found, match.matches(text, policy=self.policy, tagged=has_tags))
         out = both.withColumn("spans", S.merge(F.filter(spans, lambda s: s.isNotNull())))
-        return out.drop("lex_doc", "aliases", "places", "people", "orgs", "common", "tagged_places")
+        return out.drop("lex_doc", "aliases", "places", "people", "orgs", "firsts", "common", "tagged_places")
 
     # -- replacement --------------------------------------------------------------
-    def mapping(self, detected: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
-        """(doc_id, label, original, replacement): a row a distinct value of a document."""
-        at = F.struct("block_id", "s.start").alias("at")
-        rows = detected.select("doc_id", "block_id", F.explode("spans").alias("s")).select("doc_id", at, "s.label", "s.text")
-        return self._replaced(rows, lexicon)
+    def edited(self, detected: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+        """detected with `edits`, what replaces each of its spans, in their order. Without a lexicon
+        an invented value depends on its span alone and is made in the same projection; else the
+        distinct values of a document are replaced, and detected is read twice."""
+        if self.policy.mode == "tag" or lexicon is not None:
+            return self._by_value(detected, lexicon)
+        known = detected.withColumns({k: F.lit(None).cast(v) for k, v in CONTEXT.items()})
+        made = lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), surrogates.replacement(s.label, s.text, self.policy).alias("replacement"))
+        return known.withColumn("edits", F.transform("spans", made)).drop(*CONTEXT)
+
+    def _by_value(self, detected: DataFrame, lexicon: DataFrame | None) -> DataFrame:
+        rows = detected.select("doc_id", "block_id", F.explode("spans").alias("s")).select("doc_id", "block_id", "s.start", "s.end", "s.label", "s.text")
+        rows = rows.withColumn("at", F.struct("block_id", "start")).withColumn("o", squeeze(F.col("text")))
+        m = self._replaced(rows, lexicon).toDF("d", "l", "original", "replacement")
+        on = (F.col("doc_id") == F.col("d")) & (F.col("label") == F.col("l")) & (F.col("o") == F.col("original"))
+        listed = F.array_sort(F.collect_list(F.struct("start", "end", "replacement"))).alias("edits")
+        out = detected.join(rows.join(m, on).groupBy("doc_id", "block_id").agg(listed), ["doc_id", "block_id"], "left")
+        return out.withColumn("edits", F.coalesce("edits", F.array().cast(EDITS)))
+
+    @staticmethod
+    def _pairs(edited: DataFrame, *columns: str) -> DataFrame:
+        """A row a span `s` with its edit `e`."""
+        both = F.explode(F.arrays_zip("spans", "edits")).alias("x")
+        return edited.select(*columns, both).select(*columns, F.col("x.spans").alias("s"), F.col("x.edits").alias("e"))
+
+    def mapping(self, edited: DataFrame) -> DataFrame:
+        """(doc_id, label, original, replacement): a row a distinct value of a document, as it is
+        replaced where it comes first."""
+        at = F.struct("block_id", "s.start", "e.replacement")
+        rows = self._pairs(edited, "doc_id", "block_id").groupBy("doc_id", F.col("s.label").alias("label"), squeeze(F.col("s.text")).alias("original"))
+        return rows.agg(F.min(at).getField("replacement").alias("replacement"))
+
+    def audit(self, edited: DataFrame) -> DataFrame:
+        """A row a detection: doc_id, block, part, label, start, end, original, replacement,
+        find_in_output, detector, score."""
+        return self._pairs(edited, "doc_id", "block_id", "part").select(
+            "doc_id", F.col("block_id").alias("block"), "part", "s.label", "s.start", "s.end", squeeze(F.col("s.text")).alias("original"), "e.replacement",
+            F.substring(squeeze(F.col("e.replacement")), 1, 60).alias("find_in_output"), F.col("s.source").alias("detector"), F.format_string("%.2f", "s.score").alias("score"),
+        )
+
+    def redact(self, edited: DataFrame) -> DataFrame:
+        """edited blocks with `redacted`."""
+        return edited.withColumn("redacted", S.splice(F.col("text"), F.col("edits")))
 
     def _replaced(self, rows: DataFrame, lexicon: DataFrame | None) -> DataFrame:
-        values = rows.groupBy("doc_id", "label", squeeze(F.col("text")).alias("original")).agg(F.min("at").alias("at"), F.min("text").alias("text"))
+        """(doc_id, label, original, replacement) of rows (doc_id, at, label, text)."""
+        values = rows.groupBy("doc_id", "label", squeeze(F.col("text")).alias("original")).agg(F.min("text").alias("text"), F.min("at").alias("at"))
         if self.policy.mode == "tag":
             t = surrogates.tags(values).toDF("d", "l", "n", "replacement")
             on = (F.col("doc_id") == F.col("d")) & (F.col("label") == F.col("l")) & (normalise(F.col("text")) == F.col("n"))
             return values.join(t, on).select("doc_id", "label", "original", "replacement")
-        if lexicon is None:
-            blank = {"surnames": "array<string>", "firsts": "array<string>", "domains": "map<string,string>", "companies": "map<string,string>", "place_map": "map<string,string>", "indian": "boolean"}
-            known = values.withColumns({k: F.lit(None).cast(v) for k, v in blank.items()})
-        else:
-            known = values.join(surrogates.context(lexicon, self.policy), F.col("doc_id") == F.col("ctx_doc"), "left")
+        known = values.join(surrogates.context(lexicon, self.policy), F.col("doc_id") == F.col("ctx_doc"), "left")
         return known.select("doc_id", "label", "original", surrogates.replacement(F.col("label"), F.col("text"), self.policy).alias("replacement"))
 
-    def audit(self, detected: DataFrame, mapping: DataFrame) -> DataFrame:
-        """A row a detection: doc_id, block, part, label, start, end, original, replacement,
-        find_in_output, detector, score."""
-        rows = detected.select("doc_id", "block_id", "part", F.explode("spans").alias("s")).withColumn("original", squeeze(F.col("s.text")))
-        m = mapping.select(F.col("doc_id").alias("d"), F.col("label").alias("l"), F.col("original").alias("o"), "replacement")
-        both = rows.join(m, (F.col("doc_id") == F.col("d")) & (F.col("s.label") == F.col("l")) & (F.col("original") == F.col("o")))
-        return both.select(
-            "doc_id", F.col("block_id").alias("block"), "part", "s.label", "s.start", "s.end", "original", "replacement",
-            F.substring(squeeze(F.col("replacement")), 1, 60).alias("find_in_output"), F.col("s.source").alias("detector"), F.format_string("%.2f", "s.score").alias("score"),
-        )
-
-    def redact(self, detected: DataFrame, mapping: DataFrame) -> DataFrame:
-        """blocks with `redacted` and `edits`."""
-        edit = F.struct("start", "end", "replacement")
-        edits = self.audit(detected, mapping).groupBy("doc_id", F.col("block").alias("block_id")).agg(F.array_sort(F.collect_list(edit)).alias("edits"))
-        out = detected.join(edits, ["doc_id", "block_id"], "left")
-        none = F.array().cast("array<struct<start:int,end:int,replacement:string>>")
-        out = out.withColumn("edits", F.coalesce("edits", none))
-        return out.withColumn("redacted", S.splice(F.col("text"), F.col("edits")))
-
     def across_blocks(self, redacted: DataFrame, lexicon: DataFrame) -> DataFrame:
         """redacted blocks, with names over the end of a block replaced in the first and cut from
         the second. The pairs are judged on the text that the main pass left."""
@@ -160,27 +186,43 @@ class Engine:
         whole = F.when(F.col("cut").isNotNull(), F.substring(tailed, F.col("cut") + 1, F.length(tailed))).otherwise(tailed)
         return out.withColumn("redacted", whole).drop("tail", "cut")
 
-    def run(self, blocks: DataFrame, table_rows: DataFrame | None = None, scope: str | None = None) -> dict[str, DataFrame]:
-        """All tables of a run: lexicon, detected, mapping, audit, redacted, report. Lexicon, spans
-        and mapping are persisted, as several tables use them. scope: a column of constants makes
-        the whole corpus share one lexicon."""
+    def run(
+        self, blocks: DataFrame, table_rows: DataFrame | None = None, scope: str | None = None, progress: Callable[[str, float, int], None] | None = None
+    ) -> dict[str, DataFrame]:
+        """All tables of a run: lexicon, detected, mapping, audit, redacted, report. The lexicon is
+        cut, spans and edits are persisted, as several tables use them; release() frees them. scope: a column of
+        constants makes the documents that share one share a lexicon, of at most SCOPE_NAMES
+        names. progress is told stages as they are done, the share of the run, and rows."""
         if scope is not None:
             blocks = blocks.withColumn("doc_id", F.col(scope).cast("string"))
         blocks = self.tagged(blocks)
-        lexicon = self.learn(blocks, table_rows).persist()
-        detected = self.detect(blocks, lexicon).persist()
-        mapping = self.mapping(detected, lexicon).persist()
-        redacted = self.across_blocks(self.redact(detected, mapping), lexicon)
+        lexicon = self.learn(blocks, table_rows)
+        if scope is not None and (largest := lexicon.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0) > SCOPE_NAMES:
+            raise ValueError(f"a scope with {largest} names is too large to match against every block")
+        spans = self.detect(blocks, lexicon).persist()
+        detected = self.edited(spans, lexicon).persist()
+        detected._held = [spans]
+        redacted = self.across_blocks(self.redact(detected), lexicon)
+        for stage, share, table in (("learn", 0.4, lexicon), ("detect", 0.9, detected)) if progress else ():
+            table, seen = observed(table, stage)
+            table.write.format("noop").mode("overwrite").save()
+            progress(stage, share, seen.get["rows"])
         return {
             "lexicon": lexicon,
             "detected": detected,
-            "mapping": mapping,
-            "audit": self.audit(detected, mapping),
+            "mapping": self.mapping(detected),
+            "audit": self.audit(detected),
             "redacted": redacted,
             "report": report(redacted),
         }
 
 
+def release(tables: dict[str, DataFrame]) -> None:
+    """Free what run() persisted."""
+    for table in [*tables.values(), *getattr(tables["detected"], "_held", [])]:
+        table.unpersist()
+
+
 def report(redacted: DataFrame) -> DataFrame:
     """(doc_id, blocks, blocks_changed, detections, by_type): by_type is ordered by count."""
     size = redacted.groupBy("doc_id").agg(
@@ -213,7 +255,8 @@ def ablation(blocks: DataFrame, policies: dict[str, Policy], table_rows: DataFra
     """(variant, label, n): detections of the same blocks under several policies."""
     out = None
     for name, policy in policies.items():
-        audit = Engine(policy).run(blocks, table_rows)["audit"]
-        part = audit.groupBy("label").agg(F.count("*").alias("n")).select(F.lit(name).alias("variant"), "label", "n")
+        engine = Engine(policy)
+        found = engine.detect(engine.tagged(blocks), engine.learn(engine.tagged(blocks), table_rows)).select(F.explode("spans.label").alias("label"))
+        part = found.groupBy("label").agg(F.count("*").alias("n")).select(F.lit(name).alias("variant"), "label", "n")
         out = part if out is None else out.unionByName(part)
     return out

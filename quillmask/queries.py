@@ -37,22 +37,50 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- detectors over documents -------------------------------------------------------------------------
-def _one(source: str, table: str = "documents", key: str = "doc_id", text: str = "text"):
-    _, d = O.detector(source)
+def _detector(source: str) -> detectors.Detector:
+    return next(d for d in detectors.DETECTORS if d.source == source)
+
+
+def _one(source: str, table: str = "documents", key: str = "doc_id", text: str = "text", planted: bool = False):
+    d = _detector(source)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("doc_id"), F.explode(d.hits(F.col(text))).alias("h"))
+        whole = _with_line(F.col(key), F.col(text)) if planted else F.col(text)
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("doc_id"), F.explode(d.hits(whole)).alias("h"))
         return rows.select("doc_id", "h.start", F.col("h.end").alias("stop"), F.col("h.text").alias("value"))
 
     return run
 
 
+#: Lines with values that the tables don't hold; documents get one each, in turn.
+_LINES_TO_PLANT = (
+    "See https://acme.example.org/u/ana?x=1, thanks", "Tel. no: (020) 4505-3237 or phone 4155550132", "Ring 98765 43210 or 9876543211.",
+    "v6 2001:db8:0:0:0:0:0:1 and fe80:1:2:3", "PAN ABCDE1234F and ÉABCDE1234F", "IFSC TEST0ABC123.", "Account No. 1234 5678 901, a/c: 99887766554",
+    "SSN 123-45-6789, not 000-12-3456", "Aadhaar 2345 6789 0123; DIN: 01234567; passport no. K1234567", "no value in this line",
+)
+
+
+def _with_line(key, text):
+    lines = F.array(*[F.lit("\n" + x) for x in _LINES_TO_PLANT])
+    return F.concat(text, F.element_at(lines, (F.pmod(key, F.lit(len(_LINES_TO_PLANT))) + 1).cast("int")))
+
+
+_PLANTED = (
+    "(SELECT doc_id, text || chr(10) || [" + ", ".join(map(O.quoted, _LINES_TO_PLANT)) + f"][doc_id % {len(_LINES_TO_PLANT)} + 1] AS text FROM documents)"
+)
+
+
 for _name, _source in {
-    "detect_email": "regex:email", "detect_url": "regex:url", "detect_phone_labelled": "regex:phone-anchored", "detect_phone_intl": "regex:phone-intl",
-    "detect_phone_us": "regex:phone-us", "detect_phone_in": "regex:phone-in-mobile", "detect_card": "regex:card+luhn", "detect_ipv4": "regex:ipv4",
-    "detect_ipv6": "regex:ipv6", "detect_pan": "regex:pan", "detect_ifsc": "regex:ifsc", "detect_bank_account": "regex:bank-account",
+    "detect_email": "regex:email", "detect_phone_intl": "regex:phone-intl", "detect_phone_us": "regex:phone-us", "detect_card": "regex:card+luhn",
+    "detect_ipv4": "regex:ipv4",
 }.items():
     query(_name, f"SELECT doc_id, start, stop, value FROM ({O.hits(_source)})")(_one(_source))
+for _name, _source in {
+    "detect_url": "regex:url", "detect_phone_labelled": "regex:phone-anchored", "detect_phone_in": "regex:phone-in-mobile", "detect_ipv6": "regex:ipv6",
+    "detect_pan": "regex:pan", "detect_ifsc": "regex:ifsc", "detect_bank_account": "regex:bank-account", "detect_ssn": "regex:ssn",
+    "detect_aadhaar": "regex:aadhaar", "detect_din": "regex:din", "detect_passport": "regex:passport",
+}.items():
+    query(_name, f"SELECT doc_id, start, stop, value FROM ({O.hits(_source, _PLANTED)})")(_one(_source, planted=True))
 for _name, _source in {"detect_email_pages": "regex:email", "detect_card_pages": "regex:card+luhn", "detect_ipv4_pages": "regex:ipv4"}.items():
     query(_name, f"SELECT doc_id, start, stop, value FROM ({O.hits(_source, 'pages', 'page_id', 'html')})")(_one(_source, "pages", "page_id", "html"))
 query("detect_url_links", f"SELECT doc_id, start, stop, value FROM ({O.hits('regex:url', 'pages', 'page_id', 'url')})")(
@@ -60,14 +88,15 @@ query("detect_url_links", f"SELECT doc_id, start, stop, value FROM ({O.hits('reg
 )
 
 
-def _spans(text):
-    """Merged spans of the detectors that SQL can follow."""
-    parts = [(k, d) for k, d in (O.detector(s) for s in O.MAIN)]
-    return S.merge(F.concat(*[S.label(d.hits(text), d.label, d.source, d.score, k) for k, d in parts]))
+def _blocks_of(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("block_id", F.lit(0)).withColumn("part", F.lit("body")).withColumn("section", F.lit(""))
 
 
-def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).withColumn("spans", _spans(F.col("text")))
+def _detected(spark: SparkSession, sf_dir: str, policy: Policy | None = None) -> DataFrame:
+    """Documents, a block each, with the merged spans of all detectors that need no lexicon. The SQL
+    has all structured ones; broken contacts, birth dates and addresses, which it can't follow,
+    must find nothing in the tables for the two to agree."""
+    return Engine(policy).detect(_blocks_of(_docs(spark, sf_dir)))
 
 
 _MERGED = O.merged(O.MAIN)
@@ -100,20 +129,10 @@ _TAGS = (
 )
 
 
-def _tagged(detected: DataFrame):
-    s = detected.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
-    t = surrogates.tags(s.select("doc_id", "label", "text", F.col("start").alias("at"))).toDF("d", "l", "n", "tag")
-    on = (F.col("doc_id") == F.col("d")) & (F.col("label") == F.col("l")) & (normalise(F.col("text")) == F.col("n"))
-    return detected, s.join(t, on)
-
-
 @query("tag_numbers", _TAGS + " SELECT doc_id, label, norm, tag FROM t")
 def tag_numbers(spark, sf_dir):
-    return _numbers(_detected(spark, sf_dir))
-
-
-def _numbers(detected: DataFrame) -> DataFrame:
-    return _tagged(detected)[1].select("doc_id", "label", F.col("n").alias("norm"), "tag").distinct()
+    rows = _detected(spark, sf_dir).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.label", "s.text", F.col("s.start").alias("at"))
+    return surrogates.tags(rows)
 
 
 @query(
@@ -126,15 +145,14 @@ def _numbers(detected: DataFrame) -> DataFrame:
     FROM documents d LEFT JOIN e ON d.doc_id = e.doc_id""",
 )
 def redact_tag(spark, sf_dir):
-    return _with_tags(_detected(spark, sf_dir))
+    engine = Engine(Policy(mode="tag"))
+    return engine.redact(engine.edited(_once(_detected(spark, sf_dir)))).select("doc_id", "redacted")
 
 
-def _with_tags(detected: DataFrame) -> DataFrame:
-    detected, tagged = _tagged(detected)
-    edits = tagged.groupBy(F.col("doc_id").alias("d")).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("tag").alias("replacement")))).alias("edits"))
-    out = detected.join(edits, F.col("doc_id") == F.col("d"), "left")
-    none = F.array().cast("array<struct<start:int,end:int,replacement:string>>")
-    return out.select("doc_id", S.splice(F.col("text"), F.coalesce("edits", none)).alias("redacted"))
+def _once(detected: DataFrame) -> DataFrame:
+    """Kept on the executors' disks, for plans that read the spans more than once; what a lost
+    executor held is made again."""
+    return detected.persist(StorageLevel.DISK_ONLY)
 
 
 def _surrogate(label: str, of, sql):
@@ -172,62 +190,30 @@ def surrogate_url(spark, sf_dir):
     return v.select("value", surrogates.url(F.col("value"), Policy.seed, none, none, empty, empty).alias("replacement"))
 
 
+_FAKE = (
+    f"CASE WHEN label = 'PHONE' THEN {O.surrogate_phone('value')} WHEN label = 'CREDIT_CARD' THEN {O.surrogate_card('value')} "
+    f"WHEN label = 'IP_ADDRESS' THEN {O.surrogate_ip('value')} WHEN label = 'EMAIL' THEN {O.surrogate_email('value')} "
+    f"WHEN label = 'URL' THEN {O.surrogate_url('value')} ELSE {O.surrogate_shape('value')} END"
+)
+_SQUEEZED = "trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
 @query(
     "mapping_table",
-    f"SELECT DISTINCT doc_id, label, trim(regexp_replace(value, '\\s+', ' ', 'g')) AS original, CASE label WHEN 'PHONE' THEN {O.surrogate_phone('value')} "
-    f"WHEN 'CREDIT_CARD' THEN {O.surrogate_card('value')} WHEN 'IP_ADDRESS' THEN {O.surrogate_ip('value')} END AS replacement "
-    f"FROM ({_FLAT}) WHERE label IN ('PHONE', 'CREDIT_CARD', 'IP_ADDRESS')",
+    f"SELECT doc_id, label, original, replacement FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, label, original ORDER BY start) AS r "
+    f"FROM (SELECT doc_id, label, start, {_SQUEEZED.format(x='value')} AS original, {_FAKE} AS replacement FROM ({_FLAT}))) WHERE r = 1",
 )
 def mapping_table(spark, sf_dir):
-    detected = _blocks_of(_detected(spark, sf_dir))
-    kinds = F.array(F.lit("PHONE"), F.lit("CREDIT_CARD"), F.lit("IP_ADDRESS"))
-    some = detected.withColumn("spans", F.filter("spans", lambda s: F.array_contains(kinds, s.label)))
-    return Engine().mapping(some)
-
-
-def _blocks_of(detected: DataFrame) -> DataFrame:
-    return detected.withColumn("block_id", F.lit(0)).withColumn("part", F.lit("body")).withColumn("section", F.lit(""))
+    return Engine().mapping(Engine().edited(_detected(spark, sf_dir)))
 
 
 @query(
     "detection_audit",
-    f"SELECT doc_id, label, start, trim(regexp_replace(value, '\\s+', ' ', 'g')) AS original, source AS detector, printf('%.2f', score) AS score, "
-    f"substr({O.surrogate_ip('value')}, 1, 60) AS find_in_output FROM ({_FLAT}) WHERE label = 'IP_ADDRESS'",
+    f"SELECT doc_id, label, start, {_SQUEEZED.format(x='value')} AS original, source AS detector, printf('%.2f', score) AS score, "
+    f"substr({_SQUEEZED.format(x=_FAKE)}, 1, 60) AS find_in_output FROM ({_FLAT})",
 )
 def detection_audit(spark, sf_dir):
-    detected = _blocks_of(_detected(spark, sf_dir)).withColumn("spans", F.filter("spans", lambda s: s.label == "IP_ADDRESS"))
-    audit = Engine().audit(detected, Engine().mapping(detected))
-    return audit.select("doc_id", "label", "start", "original", "detector", "score", "find_in_output")
-
-
-def _whole(spark: SparkSession, sf_dir: str, policy: Policy | None = None) -> DataFrame:
-    """Documents, a block each, with the merged spans of all detectors that need no lexicon."""
-    return Engine(policy).detect(_blocks_of(_docs(spark, sf_dir)))
-
-
-def _once(detected: DataFrame) -> DataFrame:
-    """Kept on the executors' disks, for plans that read the spans more than once."""
-    return detected.persist(StorageLevel.DISK_ONLY)
-
-
-@query("whole_mapping_table")
-def whole_mapping_table(spark, sf_dir):
-    """mapping_table of every label."""
-    return Engine().mapping(_whole(spark, sf_dir))
-
-
-@query("whole_detection_audit")
-def whole_detection_audit(spark, sf_dir):
-    """detection_audit of every label."""
-    detected = _once(_whole(spark, sf_dir).drop("text"))
-    audit = Engine().audit(detected, Engine().mapping(detected))
-    return audit.select("doc_id", "label", "start", "original", "detector", "score", "find_in_output")
-
-
-_FAKE = (
-    f"CASE label WHEN 'PHONE' THEN {O.surrogate_phone('value')} WHEN 'CREDIT_CARD' THEN {O.surrogate_card('value')} WHEN 'IP_ADDRESS' THEN {O.surrogate_ip('value')} "
-    f"WHEN 'EMAIL' THEN {O.surrogate_email('value')} WHEN 'URL' THEN {O.surrogate_url('value')} END"
-)
+    return Engine().audit(Engine().edited(_detected(spark, sf_dir))).select("doc_id", "label", "start", "original", "detector", "score", "find_in_output")
 
 
 @query(
@@ -239,8 +225,7 @@ _FAKE = (
     FROM documents d LEFT JOIN e ON d.doc_id = e.doc_id""",
 )
 def redact_fake(spark, sf_dir):
-    detected = _blocks_of(_detected(spark, sf_dir))
-    return Engine().redact(detected, Engine().mapping(detected)).select("doc_id", "redacted")
+    return Engine().redact(Engine().edited(_detected(spark, sf_dir))).select("doc_id", "redacted")
 
 
 @query("run_report")
@@ -251,41 +236,19 @@ def run_report(spark, sf_dir):
 
 # -- vocabulary, sections, sampling ---------------------------------------------------------------------
 _VOCAB = (
-    "SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, "
-    "'\\S+@\\S+|https?://\\S+|www\\.\\S+', ' ', 'g'), '\\b[a-z][a-z''\\-]{2,}\\b')) AS word FROM en) GROUP BY ALL"
+    "SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(" + O.folded("text") + ", "
+    "'\\S+@\\S+|https?://\\S+|www\\.\\S+', ' ', 'g'), '\\b[a-z][a-z''\\-]{2,}\\b')) AS word FROM documents) GROUP BY ALL"
 )
-#: English texts: RE2 sees a boundary between an accented letter and a plain one.
-_EN = "WITH en AS (SELECT doc_id, text FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[\\x00-\\x7F]*$'))"
-
 
-def _ascii_docs(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'")
-    return docs.where(F.col("text").rlike(r"^\p{ASCII}*$")).select("doc_id", "text")
 
-
-@query("vocab_counts", f"{_EN} {_VOCAB}")
+@query("vocab_counts", _VOCAB)
 def vocab_counts(spark, sf_dir):
-    return learn.vocabulary(_ascii_docs(spark, sf_dir))
-
-
-@query("common_words", f"{_EN} SELECT word, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n FROM ({_VOCAB}) WHERE n >= 3 GROUP BY word")
-def common_words(spark, sf_dir):
-    return _common(vocab_counts(spark, sf_dir))
-
-
-def _common(words: DataFrame) -> DataFrame:
-    return words.where(F.col("n") >= learn.COMMON).groupBy("word").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"))
-
-
-@query("whole_vocab_counts")
-def whole_vocab_counts(spark, sf_dir):
-    """vocab_counts of all documents, in any language and with any letters."""
     return learn.vocabulary(_docs(spark, sf_dir))
 
 
-@query("whole_common_words")
-def whole_common_words(spark, sf_dir):
-    return _common(whole_vocab_counts(spark, sf_dir))
+@query("common_words", f"SELECT word, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n FROM ({_VOCAB}) WHERE n >= 3 GROUP BY word")
+def common_words(spark, sf_dir):
+    return vocab_counts(spark, sf_dir).where(F.col("n") >= learn.COMMON).groupBy("word").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"))
 
 
 _LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS block_id FROM documents"
@@ -331,13 +294,13 @@ def stratified_sample(spark, sf_dir):
     return evalkit.stratified_sample(docs, "source", quota, "doc_id").select("source", "doc_id")
 
 
-# -- evaluation: card and address-like detectors against a gold of all main detectors ----------------------------
-_PRED, _GOLD = ["regex:email", "regex:card+luhn", "regex:phone-us", "regex:ipv4"], ["regex:email", "regex:card+luhn", "regex:phone-intl", "regex:ipv4"]
+# -- evaluation: a prediction without addresses of machines against a gold without cards ----------------------------
+_PRED, _GOLD = ["regex:email", "regex:card+luhn", "regex:phone-us"], ["regex:email", "regex:phone-intl", "regex:ipv4"]
 
 
 def _judged(spark, sf_dir):
     def of(sources):
-        return S.merge(F.concat(*[S.label(d.hits(F.col("text")), d.label, d.source, d.score, k) for k, d in map(O.detector, sources)]))
+        return S.merge(F.concat(*[S.label(d.hits(F.col("text")), d.label, d.source, d.score, k) for k, d in enumerate(map(_detector, sources))]))
 
     return _docs(spark, sf_dir).withColumn("predicted", of(_PRED)).withColumn("gold", of(_GOLD))
 
@@ -377,72 +340,48 @@ def spurious_anti(spark, sf_dir):
 
 _COVERED = "EXISTS (SELECT 1 FROM {s} s WHERE s.doc_id = t.doc_id AND s.start < t.stop AND t.start < s.stop)"
 _TOKENS = (
-    "SELECT doc_id, list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(h[1:i], lambda x: length(x))) - length(h[i]) AS start, "
-    "list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(h[1:i], lambda x: length(x))) AS stop FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i "
-    "FROM (SELECT doc_id, regexp_extract_all(text, '\\S+') AS h, regexp_split_to_array(text, '\\S+') AS g FROM documents WHERE length(text) < 2000))"
+    "SELECT doc_id, sum(gap + size) OVER w - size AS start, sum(gap + size) OVER w AS stop FROM (SELECT doc_id, i, length(h) AS size, length(g) AS gap FROM "
+    "(SELECT doc_id, unnest(h) AS h, unnest(g[1:len(h)]) AS g, unnest(range(1, len(h) + 1)) AS i FROM "
+    "(SELECT doc_id, regexp_extract_all(f, '\\S+') AS h, regexp_split_to_array(f, '\\S+') AS g FROM (SELECT doc_id, " + O.folded("text") + " AS f FROM documents)))) "
+    "WINDOW w AS (PARTITION BY doc_id ORDER BY i)"
 )
 
 
 @query(
     "token_accuracy",
-    f"WITH p AS ({_P}), g AS ({_G}), t AS ({_TOKENS}) SELECT t.doc_id, CAST(count_if({_COVERED.format(s='p')} = {_COVERED.format(s='g')}) AS BIGINT) AS correct, count(*) AS total FROM t GROUP BY t.doc_id",
+    f"WITH p AS ({_P}), g AS ({_G}), t AS ({_TOKENS}), x AS (SELECT t.doc_id, {_COVERED.format(s='p')} AS a, {_COVERED.format(s='g')} AS b FROM t) "
+    "SELECT doc_id, CAST(count_if(a = b) AS BIGINT) AS correct, count(*) AS total FROM x GROUP BY doc_id",
 )
 def token_accuracy(spark, sf_dir):
-    return _accuracy(_judged(spark, sf_dir).where(F.length("text") < 2000))
-
-
-def _accuracy(judged: DataFrame) -> DataFrame:
-    rows = evalkit.token_accuracy(judged).where("total > 0")
+    rows = evalkit.token_accuracy(_judged(spark, sf_dir)).where("total > 0")
     return rows.select("doc_id", F.col("correct").cast("long").alias("correct"), F.col("total").cast("long").alias("total"))
 
 
-@query("whole_token_accuracy")
-def whole_token_accuracy(spark, sf_dir):
-    """token_accuracy over texts of every length."""
-    return _accuracy(_judged(spark, sf_dir))
+_LEAKS = f"""WITH s AS ({_FLAT}), v AS (SELECT doc_id, label, {_SQUEEZED.format(x='value')} AS original, min(start) AS first FROM s WHERE label <> 'EMAIL' GROUP BY ALL),
+    e AS (SELECT doc_id, list({{'start': start, 'stop': stop, 'fake': fake}} ORDER BY start) AS x
+          FROM (SELECT doc_id, start, stop, {_FAKE} AS fake FROM s WHERE label <> 'EMAIL') GROUP BY doc_id),
+    o AS (SELECT d.doc_id, CASE WHEN x IS NULL THEN text ELSE array_to_string(list_transform(range(1, len(x) + 1), lambda n:
+        substr(text, coalesce(x[n - 1].stop, 0) + 1, x[n].start - coalesce(x[n - 1].stop, 0)) || x[n].fake), '') || substr(text, x[len(x)].stop + 1) END AS out
+        FROM documents d LEFT JOIN e ON d.doc_id = e.doc_id),
+    m AS (SELECT doc_id, 'EMAIL' AS label, {_SQUEEZED.format(x='value')} AS original FROM s WHERE label = 'EMAIL' UNION SELECT doc_id, label, original FROM v)
+    SELECT label, original, CAST(n AS BIGINT) AS occurrences FROM (SELECT m.label, m.original, len(regexp_extract_all(o.out, '\\Q' || replace(m.original, ' ', '\\E\\s+\\Q') || '\\E')) AS n
+    FROM m JOIN o ON m.doc_id = o.doc_id WHERE length(m.original) >= {evalkit.MIN_LEAK}) WHERE n > 0"""
 
 
-@query("leak_check", "SELECT CAST(NULL AS VARCHAR) AS label, CAST(NULL AS VARCHAR) AS original, CAST(0 AS BIGINT) AS occurrences WHERE false")
+@query("leak_check", _LEAKS)
 def leak_check(spark, sf_dir):
-    """No replaced value may be left in its document's output."""
-    return _leaks(_blocks_of(_detected(spark, sf_dir)))
-
-
-def _leaks(detected: DataFrame) -> DataFrame:
-    mapping = Engine().mapping(detected)
-    return evalkit.leaks(mapping, Engine().redact(detected, mapping)).select("label", "original", "occurrences")
-
-
-# -- the same over the spans of all detectors, which SQL can't follow ------------------------------------------------
-@query("whole_detect_all_merged")
-def whole_detect_all_merged(spark, sf_dir):
-    return _flat(_whole(spark, sf_dir))
-
-
-@query("whole_detections_by_label")
-def whole_detections_by_label(spark, sf_dir):
-    return _label_counts(whole_detect_all_merged(spark, sf_dir))
-
+    """What is left of all values when a run forgets the e-mail addresses."""
+    detected = _detected(spark, sf_dir)
+    mapping = Engine().mapping(Engine().edited(detected))
+    forgot = detected.withColumn("spans", F.filter("spans", lambda s: s.label != "EMAIL"))
+    return evalkit.leaks(mapping, Engine().redact(Engine().edited(forgot))).select("label", "original", "occurrences")
 
-@query("whole_tag_numbers")
-def whole_tag_numbers(spark, sf_dir):
-    return _numbers(_once(_whole(spark, sf_dir).drop("text")))
 
-
-@query("whole_redact_tag")
-def whole_redact_tag(spark, sf_dir):
-    return _with_tags(_once(_whole(spark, sf_dir)))
-
-
-@query("whole_redact_fake")
-def whole_redact_fake(spark, sf_dir):
-    detected = _once(_whole(spark, sf_dir))
-    return Engine().redact(detected, Engine().mapping(detected)).select("doc_id", "redacted")
-
-
-@query("whole_leak_check")
-def whole_leak_check(spark, sf_dir):
-    return _leaks(_once(_whole(spark, sf_dir)))
+@query("leak_check_whole_run")
+def leak_check_whole_run(spark, sf_dir):
+    """No replaced value may be left in its document's output: an empty table."""
+    edited = _once(Engine().edited(_detected(spark, sf_dir)))
+    return evalkit.leaks(Engine().mapping(edited), Engine().redact(edited)).select("label", "original", "occurrences")
 
 
 _TERMS = [("CRITICAL", "a", "the"), ("CRITICAL", "a", "and the"), ("HIGH", "b", "sh"), ("HIGH", "c", "zzz zzz"), ("LOW", "d", "license")]
@@ -451,18 +390,11 @@ _TERMS = [("CRITICAL", "a", "the"), ("CRITICAL", "a", "and the"), ("HIGH", "b",
 @query(
     "reid_audit",
     f"""WITH terms AS ({O.values([("severity", "VARCHAR"), ("anchor", "VARCHAR"), ("term", "VARCHAR")], _TERMS)}),
-    d AS (SELECT text FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[\\x00-\\x7F]*$')),
+    d AS (SELECT {O.folded("text")} AS text FROM documents),
     e AS (SELECT severity, anchor, term, len(regexp_extract_all(text, '(?i)\\b' || array_to_string(string_split(term, ' '), '\\s+') || '\\b')) AS n FROM terms, d)
     SELECT severity, anchor, term, CAST(sum(n) AS BIGINT) AS hits FROM e GROUP BY ROLLUP (severity, anchor, term)""",
 )
 def reid_audit(spark, sf_dir):
-    terms = spark.createDataFrame(_TERMS, "severity string, anchor string, term string")
-    return evalkit.reidentification(terms, _ascii_docs(spark, sf_dir))
-
-
-@query("whole_reid_audit")
-def whole_reid_audit(spark, sf_dir):
-    """reid_audit of all documents, in any language and with any letters."""
     terms = spark.createDataFrame(_TERMS, "severity string, anchor string, term string")
     return evalkit.reidentification(terms, _docs(spark, sf_dir))
 
@@ -873,7 +805,7 @@ def fx_surrogate_rules(spark, sf_dir):
               ("ORG", "KSH"), ("URL", "https://www.kshtrading.com/u/testwalla"), ("PHONE", "+91 (20) 4505-3237"), ("LOCATION", "Norvale – 411 999")]
     blocks = spark.createDataFrame([("d", k, label, v) for k, (label, v) in enumerate(values)], "doc_id string, block_id int, label string, v string")
     span = F.struct(F.lit(0).alias("start"), F.length("v").alias("end"), "label", F.col("v").alias("text"), F.lit("").alias("source"), F.lit(1.0).alias("score"), F.lit(0).alias("ord"))
-    m = Engine().mapping(blocks.select("doc_id", "block_id", F.array(span).alias("spans")), lex)
+    m = Engine().mapping(Engine().edited(blocks.select("doc_id", "block_id", F.array(span).alias("spans")), lex))
     one = m.agg(*[F.max(F.when((F.col("label") == label) & (F.col("original") == v), F.col("replacement"))).alias(f"v{k}") for k, (label, v) in enumerate(values)])
     last, low = F.element_at(F.split("v0", " "), -1), F.lower("v0")
     plain = lambda c: F.regexp_replace(c, r"\d", "0")

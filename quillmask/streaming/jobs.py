@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..plans.engine import Engine
+from ..plans.engine import Engine, release
 from ..sources import docx
 
 TTL_MS = 15 * 60 * 1000
@@ -29,8 +29,7 @@ def redact_stream(blocks: DataFrame, engine: Engine, out: str, checkpoint: str,
         tables = engine.run(batch)
         tables["redacted"].select("doc_id", "block_id", F.col("redacted").alias("text")).write.mode("overwrite").parquet(f"{out}/redacted/batch={batch_id}")
         tables["audit"].write.mode("overwrite").parquet(f"{out}/audit/batch={batch_id}")
-        for name in ("mapping", "detected", "lexicon"):
-            tables[name].unpersist()
+        release(tables)
 
     return blocks.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmask import udtf
 from quillmask.functions import spans as S
 from quillmask.operators import detectors
-from quillmask.operators.addresses import address_spans
+from quillmask.operators.addresses import addresses
 from quillmask.operators.split_contacts import find_split
 from quillmask.policy import Policy, register_label
 
@@ -75,14 +75,35 @@ def test_own_detector_and_label(spark):
         detectors._own.clear()
 
 
-def test_address_growth_and_limits():
-    def texts(t, section=""):
-        return [(t[a:b], s) for a, b, s, _ in address_spans(t, section)]
-
-    assert texts("Gat No. 11/3, Village Birchdale, near the old mill") == [("Gat No. 11/3, Village Birchdale, near the old mill", "address:line-heuristic"), ("Gat No. 11/3, Village Birchdale, near the old mill", "address:opener")]
-    assert texts("5 Hill Road, Sector 4, Elmwood", "Name | Address")[-1][1] in ("address:column", "address:line-heuristic")
-    assert texts("TKT-100294 was closed") == []
-    assert texts("") == []
+def test_address_growth_and_limits(spark):
+    cases = [
+        ("Gat No. 11/3, Village Birchdale, near the old mill", ""),
+        ("5 Hill Road, Sector 4, Elmwood", "Name | Address"),
+        ("TKT-100294 was closed", ""),
+        ("", ""),
+        ("The firm, having its Registered Office at 11/3, Village Birchdale, , Norvale – 411 999, Maharashtra , India. It moved.", ""),
+        ("he paid, who are many, Eastmere, Norvale PIN: 411999; Goa, Elsewhere", ""),
+        ("Address: 22 Tamarind Street, Westbrook, IL 62999, USA and more", ""),
+        ("  9 Mill Lane, near Sector 4, Elmwood  \nplain words here", ""),
+        (", ".join(f"Part {chr(65 + k)}" for k in range(12)) + " – 411 999", ""),
+        ("x" * 3000 + ", Eastmere, Norvale – 411 999", ""),
+    ]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, t string, s string")
+    rows = df.select("k", "t", F.explode(addresses(F.col("t"), F.col("s"))).alias("x")).collect()
+    assert all(r.t[r.x.start : r.x.end] == r.x.text for r in rows)
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.k, r.x.start, r.x.source)):
+        got.setdefault(r.k, []).append((r.x.text, r.x.source.removeprefix("address:")))
+    assert got == {
+        0: [(cases[0][0], "line-heuristic"), (cases[0][0], "opener")],
+        1: [(cases[1][0], "column"), (cases[1][0], "line-heuristic")],
+        4: [("11/3, Village Birchdale, , Norvale – 411 999, Maharashtra ", "postal-anchor")],
+        5: [("Eastmere, Norvale PIN: 411999; Goa", "postal-anchor")],
+        6: [("22 Tamarind Street, Westbrook, IL 62999", "postal-anchor")],
+        7: [("9 Mill Lane, near Sector 4, Elmwood", "line-heuristic")],
+        8: [(", ".join(f"Part {chr(65 + k)}" for k in range(3, 12)) + " – 411 999", "postal-anchor")],
+        9: [("Eastmere, Norvale – 411 999", "postal-anchor")],
+    }
 
 
 def test_split_contacts_need_a_gap_and_a_domain():
@@ -91,6 +112,12 @@ def test_split_contacts_need_a_gap_and_a_domain():
         assert find_split(text) == []
 
 
+def test_split_contacts_end_at_their_domain():
+    cases = {"see www.acme testing.com/a?b=1, or": "www.acme testing.com/a?b=1", "WEBSITE www.acmetesting. community now": "www.acmetesting. com", "bo@acme.co .in.": "bo@acme.co .in"}
+    for text, value in cases.items():
+        assert [text[a:b] for a, b, *_ in find_split(text)] == [value]
+
+
 def test_udtf_agrees_with_the_columns(spark):
     udtf.register(spark)
     text = "Mail ana@acme.example.org, card 4111 1111 1111 1111, host 10.0.0.7, call +91 98765 43210"

@@ -1,4 +1,4 @@
-"""Queries named whole_: all rows and detectors, against brute force on small tables."""
+"""Queries over all rows, with all detectors, against brute force on small tables."""
 
 import random
 import re
@@ -18,7 +18,7 @@ def test_token_accuracy_of_long_texts(spark, tmp_path):
     bits = ["plain", "ana@acme.org", "(ana@acme.org),x", "+91 98765 43210", "212-555-0147", "10.0.12.7", "é\U0001f600", "4111 1111 1111 1111", "\u00a0", "\n"]
     texts = ["", " ", None, *[" ".join(rng.choice(bits) for _ in range(n)) for n in (3, 40, 150, 2500, 6000)]]
     sf = documents(spark, tmp_path, *texts)
-    got = {r.doc_id: (r.correct, r.total) for r in core.QUERIES["whole_token_accuracy"](spark, sf).collect()}
+    got = {r.doc_id: (r.correct, r.total) for r in core.QUERIES["token_accuracy"](spark, sf).collect()}
     expected = {}
     for r in core._judged(spark, sf).where("text IS NOT NULL").collect():
         tokens = [m.span() for m in re.finditer(r"\S+", r.text)]
@@ -40,10 +40,10 @@ def test_words_and_terms_of_all_documents(spark, tmp_path):
     sf = documents(spark, tmp_path, *texts)
     plain = [re.sub(r"\S+@\S+|https?://\S+|www\.\S+", " ", t or "") for t in texts]
     words = Counter((k, w) for k, t in enumerate(plain) for w in re.findall(r"\b[a-z][a-z'\-]{2,}\b", t))
-    assert {(r.doc_id, r.word): r.n for r in core.QUERIES["whole_vocab_counts"](spark, sf).collect()} == words
-    assert {tuple(r) for r in core.QUERIES["whole_common_words"](spark, sf).collect()} == {(w, 1, n) for (_, w), n in words.items() if n >= 3}
+    assert {(r.doc_id, r.word): r.n for r in core.QUERIES["vocab_counts"](spark, sf).collect()} == words
+    assert {tuple(r) for r in core.QUERIES["common_words"](spark, sf).collect()} == {(w, 1, n) for (_, w), n in words.items() if n >= 3}
     hits = {t: sum(len(re.findall(rf"\b{t}\b", x or "", re.I)) for x in texts) for t in ("the", "and the", "sh", "zzz zzz", "license")}
-    assert {r.term: r.hits for r in core.QUERIES["whole_reid_audit"](spark, sf).collect() if r.term} == hits and hits["license"] == 5
+    assert {r.term: r.hits for r in core.QUERIES["reid_audit"](spark, sf).collect() if r.term} == hits and hits["license"] == 5
 
 
 VALUES = {
@@ -56,12 +56,12 @@ LINES = ["Mail {EMAIL} now", "see {URL} there", "call {PHONE} now", "card {CREDI
 def test_mapping_and_audit_have_every_label(spark, tmp_path):
     text = "\n".join(LINES).format(**VALUES)
     sf = documents(spark, tmp_path, text, "nothing here", text + "\n" + text)
-    mapping = core.QUERIES["whole_mapping_table"](spark, sf).collect()
+    mapping = core.QUERIES["mapping_table"](spark, sf).collect()
     assert {(r.doc_id, r.label, r.original) for r in mapping} == {(k, label, v) for k in (0, 2) for label, v in VALUES.items()}
     new = {(r.doc_id, r.label): r.replacement for r in mapping}
     assert all(v and v != VALUES[label] for (_, label), v in new.items()) and len(mapping) == len(new)
     places = [(k, label, m.start(), v) for k, t in ((0, text), (2, text + "\n" + text)) for label, v in VALUES.items() for m in re.finditer(re.escape(v), t)]
-    audit = core.QUERIES["whole_detection_audit"](spark, sf).collect()
+    audit = core.QUERIES["detection_audit"](spark, sf).collect()
     assert sorted((r.doc_id, r.label, r.start, r.original) for r in audit) == sorted(places)
     assert all(r.find_in_output == new[r.doc_id, r.label][:60] for r in audit)
 
@@ -71,10 +71,10 @@ def test_nothing_that_a_detector_knows_stays(spark, tmp_path):
     sf = documents(spark, tmp_path, text, "nothing here", text)
     run = lambda name: core.QUERIES[name](spark, sf).collect()
     tagged = "\n".join(LINES).format(**{k: f"[{k}_1]" for k in VALUES})
-    assert {r.doc_id: r.redacted for r in run("whole_redact_tag")} == {0: tagged, 1: "nothing here", 2: tagged}
-    assert {(r.doc_id, r.tag) for r in run("whole_tag_numbers")} == {(k, f"[{v}_1]") for k in (0, 2) for v in VALUES}
-    assert {(r.doc_id, r.label, r.value) for r in run("whole_detect_all_merged")} == {(k, label, v) for k in (0, 2) for label, v in VALUES.items()}
-    assert {(r.label, r.n, r.n_docs) for r in run("whole_detections_by_label")} == {(v, 2, 2) for v in VALUES}
-    fake = {r.doc_id: r.redacted for r in run("whole_redact_fake")}
+    assert {r.doc_id: r.redacted for r in run("redact_tag")} == {0: tagged, 1: "nothing here", 2: tagged}
+    assert {(r.doc_id, r.tag) for r in run("tag_numbers")} == {(k, f"[{v}_1]") for k in (0, 2) for v in VALUES}
+    assert {(r.doc_id, r.label, r.value) for r in run("detect_all_merged")} == {(k, label, v) for k in (0, 2) for label, v in VALUES.items()}
+    assert {(r.label, r.n, r.n_docs) for r in run("detections_by_label")} == {(v, 2, 2) for v in VALUES}
+    fake = {r.doc_id: r.redacted for r in run("redact_fake")}
     assert fake[1] == "nothing here" and not any(v in fake[k] for k in (0, 2) for v in VALUES.values())
-    assert run("whole_leak_check") == []
+    assert run("leak_check_whole_run") == []
